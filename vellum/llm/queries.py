@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_stream
+from . import bit_sliced, packing, quality, sharding, simhash, token_stream
 from .common import table
 
 
@@ -12,18 +12,34 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.token_stream(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_token_stream": op1_token_stream,
+    "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
+    "op9_top_k": op9_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {}
