@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, packing, quality, sharding, simhash, token_stream
+from . import bit_sliced, main_text, packing, quality, sharding, simhash, token_stream, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.token_stream(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -35,10 +43,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_stream": op1_token_stream,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op9_top_k": op9_top_k,
 }
 
