@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,39 +52,100 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class _Rows:
+    """Growing rows of ids: row k is ``flat[first[k] : first[k] + size[k]]``."""
+
+    def __init__(self, dtype):
+        self.flat, self.first, self.size = np.empty(0, dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``at`` in a row, and their sizes."""
+        size = self.size[at]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        return self.flat[np.repeat(self.first[at] - (stop - size), size) + np.arange(total)], size
+
+
 class WordEncoder:
     """Token ids of texts, by way of a cache of words.
 
-    The vocabulary's splitter never joins characters across white space, and its normaliser works
-    within a word, so a text's ids are its words' ids in a row. Each distinct word is encoded once
-    by the tokenizers library; a text is then a gather over the cache. ``max_words`` bounds the
-    cache: beyond it the cache starts afresh, with the same ids.
+    The vocabulary's splitter never joins characters across white space, nor a letter and a full
+    stop or comma after it, and its normaliser works within a word and lowers case. So a text's ids
+    are its words' ids in a row, and a Latin word's ids are those of its lower-case letters, then
+    those of the stop. Each distinct piece is encoded once by the tokenizers library (Latin ones many
+    at a time: a word's last id is marked as such in the vocabulary); a text is then a gather over
+    the cache. ``max_words`` bounds the cache: beyond it the cache starts afresh, with
+    the same ids.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, max_words: int = 1_500_000):
+    def __init__(self, path: str, end_id: int = END_ID, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for lower-case Latin letters, which the vocabulary's own steps would leave as they are
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end_id, self.max_words = end_id, max_words
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[bytes, int] = {b"": 0}  # the empty word stands for a document's end
-        self.flat = np.array([self.end_id], self.dtype)
-        self.first, self.size = np.array([0], np.int64), np.array([1], np.int64)
+        self.words, self.piece, self.pieces = _Rows(self.dtype), {}, _Rows(self.dtype)
+        self.words.add(np.array([self.end_id]), np.array([1]))
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.flat) + np.cumsum(size) - size
-        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
+        parts: list[str] = []
+        plain: dict[str, None] = {}
+        other: dict[str, None] = {}
+        count = np.ones(len(words), np.int64)
+        known = self.piece
+        for k, word in enumerate(words):
+            text = word.decode()
+            stem, stop = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                stem = stem.lower()
+                parts.append(stem)
+                if stem not in known:
+                    plain[stem] = None
+                if stop:
+                    parts.append(stop)
+                    count[k] = 2
+                    if stop not in known:
+                        other[stop] = None
+            else:
+                parts.append(text)
+                if text not in known:
+                    other[text] = None
+        if plain:
+            stems = list(plain)
+            lines = [" ".join(stems[k : k + 64]) for k in range(0, len(stems), 64)]
+            found = self.plain.encode_batch_fast(lines, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(x.ids for x in found), self.dtype)
+            self._name(stems, flat, np.diff(np.flatnonzero(self.is_last[flat]), prepend=-1))
+        if other:
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)]
+            self._name(list(other), np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat, size = self.pieces.take(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
+        self.words.add(flat, np.add.reduceat(size, np.cumsum(count) - count))
         n = len(self.number)
         self.number.update(zip(words, range(n, n + len(words))))
-        self.flat = np.concatenate([self.flat, flat])
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+
+    def _name(self, pieces: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        if len(size) != len(pieces):
+            raise ValueError("a piece's last id must be marked as such in the vocabulary")
+        n = len(self.piece)
+        self.piece.update(zip(pieces, range(n, n + len(pieces))))
+        self.pieces.add(flat, size)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, the end id after each text, and the ids' count per text."""
@@ -98,12 +161,14 @@ class WordEncoder:
         number = self.number
         if new := [w for w in dict.fromkeys(words) if w not in number]:
             self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.flat[np.repeat(self.first[at] - (stop - size), size) + np.arange(total)]
-        return ids, np.diff(stop[ends - 1], prepend=0) if len(texts) else np.empty(0, np.int64)
+        ids, size = self.words.take(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        return ids, np.diff(np.cumsum(size)[ends - 1], prepend=0) if len(texts) else np.empty(0, np.int64)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str, end_id: int = END_ID) -> WordEncoder:
+    """The encoder of this Python worker; tasks that reuse the worker find its words known."""
+    return WordEncoder(path, end_id)
 
 
 def batches(it, rows: int = 512):

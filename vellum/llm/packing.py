@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import END_ID, WordEncoder, batches, vocabulary
+from .common import END_ID, batches, vocabulary, word_encoder
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 64 * 4096
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, vocab: str | None = None, tiers=TIERS, step_
         part, pool, encoder = TaskContext.get().partitionId(), 0, None
         doc_ids, ids, counts, held = [], [], [], 0
         for batch in batches(it):
-            encoder = encoder or WordEncoder(vocab, end_id)
+            encoder = encoder or word_encoder(vocab, end_id)
             x, n = encoder.encode(batch.column("text").to_pylist())
             doc_ids += batch.column("doc_id").to_pylist()
             ids.append(x)

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import END_ID, WordEncoder, batches, vocabulary, work_dir
+from .common import END_ID, batches, vocabulary, word_encoder, work_dir
 
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
         encoder = None
         for batch in batches(it):
             if encoder is None:
-                encoder = WordEncoder(vocab, end_id)
+                encoder = word_encoder(vocab, end_id)
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
                 name, own = f"{base}/part-{part:06d}", f"{base}/_attempt-{TaskContext.get().taskAttemptId()}"
