@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
-Lexicon voters are the words and word beginnings that labelled training rows tie most strongly to
-the label; pattern voters look at how many of them a text has, how densely, at shouting, and at
+Lexicon voters are the words and word beginnings, found once or several times, that labelled
+training rows tie most strongly to the label; pattern voters look at how many of them a text has, how densely, at shouting, and at
 their absence. A generative label model turns the votes into posterior labels, and a linear
 classifier is trained on these. Every text is then scored by the classifier alone, whole.
 
@@ -29,14 +29,16 @@ from .label_model import posteriors
 MAX_LABELLED = 20_000
 FOLDS = 5
 #: Known words and beginnings, those of them that vote, and the least evidence (G squared) for either.
-MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 48, 18.0
+MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 96, 18.0
 PREFIXES = (4, 5, 6)
-PENALTY, DESCENTS = 1.0, 300
+#: A token is a word or beginning found at least so often in a text; it is written "text|times".
+TIMES = (1, 2, 4)
+PENALTY, DESCENTS = 0.2, 400
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def tokens_of(word: str) -> list[str]:
+def stems_of(word: str) -> list[str]:
     """A word as itself (marked by its end) and its beginnings."""
     return [word + "$"] + [word[:n] for n in PREFIXES if len(word) >= n]
 
@@ -64,7 +66,11 @@ def _token_counts(it):
 
     for batch in batches(it):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            counts[toxic].update({t for w in set(_WORD.findall((text or "").lower())) for t in tokens_of(w)})
+            stems: Counter = Counter()
+            for word, times in Counter(_WORD.findall((text or "").lower())).items():
+                for stem in stems_of(word):
+                    stems[stem] += times
+            counts[toxic].update([f"{stem}|{n}" for stem, times in stems.items() for n in TIMES if times >= n])
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield flush()
             counts = Counter(), Counter()
@@ -79,30 +85,47 @@ def _evidence(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarra
     return np.where(n1 * all0 > n0 * all1, g, -g)
 
 
+def _distinct(tokens: list[str]) -> list[str]:
+    """Drops a token where a better one (they come best first) has a beginning or end of it."""
+    kept: list[str] = []
+    seen: set[str] = set()
+    for token in tokens:
+        stem = token.rsplit("|", 1)[0]
+        ways = {stem[:n] for n in (*PREFIXES, len(stem) - 1)} | {stem}
+        if not seen & ways:
+            kept.append(token)
+            seen |= ways
+    return kept
+
+
 class Voters:
     """Looks a text's known tokens up, and votes."""
 
     def __init__(self, tokens: list[str], n_lexicon: int):
-        self.at = {t: k for k, t in enumerate(tokens)}
+        self.at: dict[str, list[tuple[int, int]]] = {}
+        for k, token in enumerate(tokens):
+            stem, times = token.rsplit("|", 1)
+            self.at.setdefault(stem, []).append((int(times), k))
         self.n_lexicon = n_lexicon
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
 
     def hits(self, text: str | None) -> tuple[list[int], int, bool]:
         """The text's known tokens, its count of words, and whether it shouts."""
         text = text or ""
-        found, n, words = set(), 0, self.words
+        words = self.words
         if len(words) > 500_000:
             words.clear()
-        every = _WORD.findall(text.lower())
-        n = len(every)
-        for w in set(every):
+        every = Counter(_WORD.findall(text.lower()))
+        stems: Counter = Counter()
+        for w, times in every.items():
             own = words.get(w)
             if own is None:
-                own = words[w] = tuple(self.at[t] for t in tokens_of(w) if t in self.at)
-            if own:
-                found.update(own)
+                own = words[w] = tuple(t for t in stems_of(w) if t in self.at)
+            for stem in own:
+                stems[stem] += times
+        found = [k for stem, times in stems.items() for least, k in self.at[stem] if times >= least]
         shouts = text.count("!") >= 3 and sum(w.isupper() and len(w) > 3 for w in _WORD.findall(text)) >= 3
-        return sorted(found), n, shouts
+        return sorted(found), every.total(), shouts
 
     def votes(self, hits: list[int], n_words: int, shouts: bool) -> list[int]:
         own = [k for k in hits if k < self.n_lexicon]
@@ -149,12 +172,12 @@ class ToxicityModel:
         expected = {k: (F.col("n0") + F.col("n1")) * (a / n) for k, a in ((0, all0), (1, all1))}
         cell = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         g = 2 * (cell(F.col("n0"), expected[0]) + cell(F.col("n1"), expected[1]) + cell(all0 - F.col("n0"), all0 - expected[0]) + cell(all1 - F.col("n1"), all1 - expected[1]))
-        best = counts.withColumn("g", g).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "token").limit(MAX_TOKENS).collect()
+        best = counts.withColumn("g", g).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), F.desc(F.length("token")), "token").limit(MAX_TOKENS).collect()
         speaks = _evidence(np.array([r.n0 for r in best]), np.array([r.n1 for r in best]), all0, all1) if best else np.empty(0)
-        lexicon = [r.token for r, s in zip(best, speaks) if s > 0][:MAX_VOTERS]
-        tokens = lexicon + sorted({r.token for r in best} - set(lexicon))
+        lexicon = _distinct([r.token for r, s in zip(best, speaks) if s > 0])
+        tokens = lexicon + _distinct([r.token for r, s in zip(best, speaks) if s <= 0])
 
-        voters = Voters(tokens, len(lexicon))
+        voters = Voters(tokens, min(len(lexicon), MAX_VOTERS))
 
         def look_up(it):
             for batch in batches(it):
