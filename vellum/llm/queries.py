@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, main_text, packing, quality, sharding, simhash, token_stream, toxicity
+from . import bit_sliced, licenses, main_text, packing, piece_lattice, quality, sharding, simhash, token_stream, toxicity
 from .common import table
 
 
@@ -36,11 +36,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_token_stream": op1_token_stream,
     "op2_html_extraction": op2_html_extraction,
@@ -49,7 +57,9 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_piece_lattice": op8_piece_lattice,
     "op9_top_k": op9_top_k,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}

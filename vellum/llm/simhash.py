@@ -165,3 +165,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
+
+
+def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id, and all rows with a null id.
+
+    Only ids are joined; texts stay where they are unless the kept ids are too many to send around.
+    """
+    kept = near_duplicates(docs, shingle, max_bits, split_over).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    one = rows.where("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id"])
+    return one.select("row.*").unionByName(rows.where("id is null").select("row.*"))
