@@ -20,6 +20,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
 from .license_templates import TEMPLATES
 
 CUES = ("licen[cs]e", "licensed", "copyright", "reserved", "redistribut", "free software", "permission")
@@ -69,6 +70,7 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     lines = lines.where(F.col("line").rlike(CUE)).groupBy("path", "line").agg(F.lit(1).alias("one"))
     counts = lines.select("path", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("path", "line", "term").count()
     weighted = counts.join(weights, "term", "left").select("path", "line", "term", (F.col("count") * F.coalesce("idf", F.lit(unknown))).alias("x"))
+    weighted = stored(weighted, "licence-terms")  # of passages only; used twice
     norms = weighted.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighted.join(vectors, "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scores = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
@@ -89,16 +91,16 @@ def directory_licenses(own: DataFrame) -> DataFrame:
 def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """``files`` (path, text, and one more column ``id``) with own, inherited and effective licence."""
     files = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    own = own_licenses(files, least)
-    licensed = directory_licenses(own)
-    few = licensed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    dirs = files.where("path is not null").groupBy(_directory("path").alias("of")).agg(F.lit(1).alias("one"))
-    parts = F.filter(F.split("of", "/"), lambda x: F.lit(True))
+    own = stored(own_licenses(files, least), "own-licences")
+    paths = stored(files.select("id", "path", _directory("path").alias("of")), "paths")
+    licensed = stored(directory_licenses(own), "directory-licences")
+    few = licensed.count() <= BROADCAST_ROWS
+    dirs = paths.where("path is not null").groupBy("of").agg(F.lit(1).alias("one"))
+    parts = F.split("of", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
     ancestors = dirs.select("of", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("dir"))), above)).alias("a")).select("of", "a.depth", "a.dir")
     ancestors = ancestors.where("depth = 0 or dir <> ''")
     nearest = ancestors.join(F.broadcast(licensed) if few else licensed, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("near"))
-    paths = files.select("id", "path", _directory("path").alias("of"))
     scanned = paths.join(own, "path", "left").join(nearest, "of", "left")
     inherited = F.col("near.dir_license")
     return scanned.select(
