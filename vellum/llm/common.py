@@ -171,6 +171,13 @@ def word_encoder(path: str, end_id: int = END_ID) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+def beside(df: DataFrame, column, name: str) -> tuple[DataFrame, str]:
+    """``df`` with ``column`` added under a name like ``name`` that no column of it has, and that name."""
+    while name in df.columns:
+        name = "_" + name
+    return df.withColumn(name, column), name
+
+
 def batches(it, rows: int = 512):
     """Arrow batches cut to at most ``rows`` rows, so that a task holds few texts at once."""
     for batch in it:

@@ -24,9 +24,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import beside, stored
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -66,21 +67,26 @@ def count(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
-def _statistics(texts: pd.Series) -> pd.DataFrame:
-    n = np.array([count(t) for t in texts], np.int64).reshape(-1, 6)
+def _statistics(texts: pa.Array) -> pa.Array:
+    parts = (texts[k : k + 256].to_pylist() for k in range(0, len(texts), 256))  # few texts as objects at once
+    n = np.array([count(t) for part in parts for t in part], np.int64).reshape(-1, 6)
     words, lines = np.maximum(n[:, 0], 1), np.maximum(n[:, 5], 1)
     vectors = np.log(np.maximum(n[:, 1], 1) / words), np.log1p(10 * n[:, 2] / words), n[:, 3] / lines, n[:, 4] / words
-    return pd.DataFrame(dict(zip(COUNTS, n[:, :5].T)) | dict(zip(X, vectors)))
+    return pa.StructArray.from_arrays([pa.array(c) for c in (*n[:, :5].T, *vectors)], [*COUNTS, *X])
 
 
-BASE_FAILED = f"(s.n_words < {MIN_WORDS} or 100 * s.n_repeat_words > {MAX_REPEAT_PERCENT} * s.n_words)"
+def _base_failed(s: str) -> F.Column:
+    return (F.col(f"{s}.n_words") < MIN_WORDS) | (100 * F.col(f"{s}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{s}.n_words"))
 
 
-def _with_statistics(docs: DataFrame) -> DataFrame:
-    """(row, source_key, lang_key, s): the document, its groups' keys and its statistics."""
-    statistics = F.pandas_udf(_statistics, STATS).asNondeterministic()  # once, in this projection
-    key = lambda *names: F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in names]))
-    return docs.select(F.struct("*").alias("row"), key("lang", "source").alias("source_key"), F.concat(F.lit("lang "), key("lang")).alias("lang_key"), statistics(F.col("text").cast("string")).alias("s"))
+def _key(*names: str) -> F.Column:
+    return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in names]))
+
+
+def _with_statistics(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with their statistics, in a column of a new name."""
+    statistics = F.arrow_udf(_statistics, STATS).asNondeterministic()  # once, in this projection
+    return beside(docs, statistics(F.col("text").cast("string")), "statistics")
 
 
 def chi_square_4(x: float) -> float:
@@ -130,9 +136,9 @@ def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key", "start").agg(F.count("*").alias("n"), *sums)
 
 
-def _distance(prefix: str = "") -> F.Column:
-    d = [F.col(f"{prefix}{X[i]}") - F.col(f"c{i}") for i in range(4)]
-    return sum((d[i] * d[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+def _distance(prefix: str = "", estimate: str = "") -> F.Column:
+    d = [F.col(f"{prefix}{X[i]}") - F.col(f"{estimate}c{i}") for i in range(4)]
+    return sum((d[i] * d[j] * F.col(f"{estimate}p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
 
 
 def _beside(rows: DataFrame, estimates: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -143,7 +149,9 @@ def _beside(rows: DataFrame, estimates: DataFrame, on: str, how: str = "inner")
 
 def fit(docs: DataFrame) -> DataFrame:
     """The estimates (key, n, centre, inverse scatter) of every source and language in ``docs``."""
-    rows = _with_statistics(docs).where(f"not {BASE_FAILED}").select(F.explode(F.array("source_key", "lang_key")).alias("key"), *[f"s.{x}" for x in X])
+    rows, s = _with_statistics(docs.select("lang", "source", "text"))
+    keys = F.explode(F.array(_key("lang", "source"), F.concat(F.lit("lang "), _key("lang")))).alias("key")
+    rows = rows.where(~_base_failed(s)).select(keys, *[f"{s}.{x}" for x in X])
     rows = stored(rows, "statistic-vectors")
 
     # starts: medians with the scatter of median deviations; the classical estimate of all vectors
@@ -176,19 +184,29 @@ def _leaning(estimates: DataFrame) -> DataFrame:
     return joined.select(F.col("key").alias("source_key"), *lean, *[f"p{i}{j}" for i, j in _PAIRS])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """(row, s, base_failed, distance, kept) for every row of ``docs``."""
-    estimates = stored(_leaning(fit(docs)), "quality-estimates")
-    judged = _beside(_with_statistics(docs), estimates, "source_key", "left").withColumn("distance", _distance("s."))
-    failed = F.expr(BASE_FAILED)
-    return judged.select("row", "s", failed.alias("base_failed"), "distance", (~failed & F.coalesce(F.col("distance") <= CUT_OFF, F.lit(True))).alias("kept"))
+def judge(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with statistics and a verdict (base_failed, distance, kept), and these columns' names."""
+    estimates = _leaning(fit(docs))
+    rows, s = _with_statistics(docs)
+    rows, key = beside(rows, _key("lang", "source"), "source_key")
+    estimate = F.struct(*[c for c in estimates.columns if c != "source_key"])
+    own = key + "_estimate"
+    while own in rows.columns:
+        own = "_" + own
+    estimates = stored(estimates.select(F.col("source_key").alias(key), estimate.alias(own)), "quality-estimates")
+    judged = _beside(rows, estimates, key, "left")
+    distance, failed = _distance(f"{s}.", f"{own}."), _base_failed(s)
+    verdict = F.struct(failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUT_OFF, F.lit(True))).alias("kept"))
+    judged, v = beside(judged, verdict, "verdict")
+    return judged, s, v
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    judged = judge(docs.select("doc_id", "text", "lang", "source"))
-    return judged.select(F.col("row.doc_id").cast("long").alias("doc_id"), *[f"s.{c}" for c in COUNTS], "base_failed", "kept", "distance")
+    judged, s, v = judge(docs.select("doc_id", "text", "lang", "source"))
+    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), *[f"{s}.{c}" for c in COUNTS], f"{v}.base_failed", f"{v}.kept", f"{v}.distance")
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    return judge(docs).where("kept").select("row.*")
+    judged, _, v = judge(docs)
+    return judged.where(F.col(f"{v}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

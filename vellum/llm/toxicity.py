@@ -19,11 +19,10 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, stored
+from .common import batches, beside, stored
 from .label_model import posteriors
 
 MAX_LABELLED = 20_000
@@ -192,13 +191,14 @@ class ToxicityModel:
         weights, bias = _descend(row, col, len(seen), len(tokens), np.clip(target, 1e-4, 1 - 1e-4))
         return cls(tokens, weights.tolist(), bias)
 
-    def scores(self, texts: pd.Series) -> pd.Series:
+    def scores(self, texts: pa.Array) -> pa.Array:
         if self.bias is None:
-            return pd.Series(np.zeros(len(texts)))
+            return pa.array(np.zeros(len(texts)))
         voters = _voters(tuple(self.tokens))
         w = np.array([*self.weights, 0.0])
-        z = np.array([w[voters.hits(t)[0]].sum() for t in texts]) + self.bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        parts = (texts[k : k + 256].to_pylist() for k in range(0, len(texts), 256))  # few texts as objects at once
+        z = np.array([w[voters.hits(t)[0]].sum() for part in parts for t in part]) + self.bias
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
 @lru_cache(maxsize=2)
@@ -206,17 +206,21 @@ def _voters(tokens: tuple[str, ...]) -> Voters:
     return Voters(list(tokens), 0)
 
 
-def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(row, score) for every row of ``docs``."""
-    score = F.pandas_udf(lambda texts: model.scores(texts), "double", F.PandasUDFType.SCALAR).asNondeterministic()
-    return docs.select(F.struct("*").alias("row"), score(F.col("text").cast("string")).alias("score"))
+def scored(docs: DataFrame, model: ToxicityModel) -> tuple[DataFrame, str]:
+    """``docs`` with their scores, in a column of a new name."""
+
+    def score(texts: pa.Array) -> pa.Array:
+        return model.scores(texts)
+
+    return beside(docs, F.arrow_udf(score, "double").asNondeterministic()(F.col("text").cast("string")), "score")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    rows = scored(docs.select("doc_id", "text"), ToxicityModel.fit(docs, labels, max_labelled))
-    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows, score = scored(docs.select("doc_id", "text"), ToxicityModel.fit(docs, labels, max_labelled))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score, (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not taken for toxic, with all their columns."""
-    return scored(docs, ToxicityModel.fit(docs, labels)).where("score < 0.5").select("row.*")
+    rows, score = scored(docs, ToxicityModel.fit(docs, labels))
+    return rows.where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
