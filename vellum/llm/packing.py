@@ -28,7 +28,7 @@ from .common import END_ID, batches, vocabulary, word_encoder
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 64 * 4096
-POOL_TOKENS = 8_000_000
+POOL_TOKENS = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 

@@ -30,7 +30,7 @@ from .common import _Rows, batches, vocabulary
 MODEL_NAME = "piece_bpe_32k.model"
 SPACE = "▁"
 BATCH_ROWS = 1024
-MAX_WORDS = 800_000
+MAX_WORDS = 300_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _END = 0x110000  # stands between words; no character
 _START, _OPEN, _BYTES = -3, -1, -2
