@@ -76,6 +76,6 @@ def attachment_role(name: Column) -> Column:
 
 def agencies_of(raw: Column, aliases: dict[str, str]) -> Column:
     """Names of a joint issue, in order, each in its canonical form, once."""
-    parts = F.filter(F.transform(F.split(raw, "[、,，;；]|\\s+和\\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, "[、,，;；]|\\s+和\\s+"), lambda p: F.trim(p)), lambda p: p != "")
     table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
     return F.array_distinct(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p) if table is not None else p))

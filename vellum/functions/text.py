@@ -53,7 +53,7 @@ def contains_in_order(haystack: Column, parts: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their marks, trimmed and not empty."""
-    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}\\n])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}\\n])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sanitized(text: Column, limit: int = 200_000) -> Column:

@@ -104,7 +104,7 @@ SUBSCRIPTIONS = """select s_suppkey as id, case when s_suppkey % 40 = 0 then 'al
  from supplier left join nation on n_nationkey = s_nationkey"""
 
 CLICKS = "select event_id, user_id as notice_id, (ts + interval 8 hour)::date as day from events where event_type = 'click'"
-RUN_LOG = "select user_id as source_id, ts as "at", event_id as seq, event_type <> 'error' as ok from events"
+RUN_LOG = '''select user_id as source_id, ts as "at", event_id as seq, event_type <> 'error' as ok from events'''
 
 
 def with_views(sql: str) -> str:
