@@ -53,7 +53,7 @@ def contains_in_order(haystack: Column, parts: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their marks, trimmed and not empty."""
-    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}\\n])"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}\\n])"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def sanitized(text: Column, limit: int = 200_000) -> Column:
@@ -94,19 +94,3 @@ def masked_quotes(text: Column) -> Column:
     """What is quoted becomes one mark, so that messages of one form meet in a group."""
     return F.regexp_replace(text, r"\"[^\"]*\"|'[^']*'", "\"…\"")
 
-
-def bigram_dice(a: Column, b: Column) -> Column:
-    """Dice similarity of the multisets of two-character pieces, white space aside."""
-
-    def grams(x: Column) -> Column:
-        x = stripped(x)
-        return F.when(F.length(x) >= 2, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substr(x, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-    ga, gb = grams(a), grams(b)
-
-    def times(array: Column, g: Column) -> Column:
-        return F.size(F.filter(array, lambda x: x == g))
-
-    shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda n, g: n + F.least(times(ga, g), times(gb, g)))
-    total = F.size(ga) + F.size(gb)
-    return F.when(stripped(a) == stripped(b), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2 * shared / total)

@@ -144,5 +144,20 @@ def char_segments(old: str, new: str, least: int = 2) -> list[tuple[str, str]]:
     return [tuple(s) for s in out]
 
 
+def dice(pairs: DataFrame) -> DataFrame:
+    """(pair_id, dice) of pairs (pair_id, old, new): Dice of the multisets of two-character pieces, white space aside."""
+    flat = pairs.select("pair_id", *[F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "").alias(c) for c in ("old", "new")])
+
+    def grams(side: str) -> DataFrame:
+        at = F.explode(F.sequence(F.lit(1), F.length(side) - 1))
+        long = flat.where(F.length(side) >= 2).select("pair_id", side, at.alias("k"))
+        return long.groupBy("pair_id", F.substr(side, F.col("k"), F.lit(2)).alias("gram")).agg(F.count("*").alias(f"n_{side}"))
+
+    shared = grams("old").join(grams("new"), ["pair_id", "gram"]).groupBy("pair_id").agg(F.sum(F.least("n_old", "n_new")).alias("shared"))
+    total = F.greatest(F.length("old") - 1, F.lit(0)) + F.greatest(F.length("new") - 1, F.lit(0))
+    value = F.when(F.col("old") == F.col("new"), 1.0).when(total == 0, 0.0).otherwise(2 * F.coalesce("shared", F.lit(0)) / total)
+    return flat.join(shared, "pair_id", "left").select("pair_id", value.alias("dice"))
+
+
 def comparability(has_old: Column, has_new: Column, old_draft: Column, new_draft: Column) -> Column:
     return F.when(~has_old | ~has_new, "missing").when(old_draft & new_draft, "comparable").when(old_draft | new_draft, "one side").otherwise("no drafts")

@@ -207,18 +207,29 @@ def _(t):
     return c.groupBy(F.col("id.conv_id").alias("conv_id"), F.col("id.turn").alias("turn")).agg(F.count("*").alias("n"))
 
 
+def _turn_pairs(t):
+    new = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("new"))
+    return t.conversations.withColumnRenamed("text", "old").join(new, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "old", "new")
+
+
 @query("t03_clause_diff")
 def _(t):
-    new = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("new"))
-    pairs = t.conversations.withColumnRenamed("text", "old").join(new, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "old", "new")
-    return diff.clause_diff(pairs)
+    return diff.clause_diff(_turn_pairs(t))
 
 
-@query("t05_similarity")
+_PAIRS = "select a.conv_id * 1000 + a.turn as pair_id, a.text as old, b.text as new from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1"
+
+
+@query(
+    "t05_similarity",
+    f"""with flat as (select pair_id, regexp_replace(old, '{_WS}+', '', 'g') as old, regexp_replace(new, '{_WS}+', '', 'g') as new from ({_PAIRS})),
+ o as (select pair_id, substr(old, k, 2) as gram, count(*) as n from (select pair_id, old, unnest(range(1, length(old))) as k from flat) group by 1, 2),
+ n as (select pair_id, substr(new, k, 2) as gram, count(*) as n from (select pair_id, new, unnest(range(1, length(new))) as k from flat) group by 1, 2),
+ s as (select pair_id, sum(least(o.n, n.n)) as shared from o join n using (pair_id, gram) group by 1)
+ select pair_id, round(case when old = new then 1.0::double when greatest(length(old) - 1, 0) + greatest(length(new) - 1, 0) = 0 then 0.0::double else 2 * coalesce(shared, 0)::double / (greatest(length(old) - 1, 0) + greatest(length(new) - 1, 0)) end, 9) as dice from flat left join s using (pair_id)""",
+)
 def _(t):
-    new = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 200).alias("new"))
-    pairs = t.conversations.select("conv_id", "turn", F.substring("text", 1, 200).alias("old")).join(new, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", F.round(x.bigram_dice(F.col("old"), F.col("new")), 6).alias("dice"))
+    return diff.dice(_turn_pairs(t)).withColumn("dice", F.round("dice", 9))
 
 
 @query("t09_sql_function", "select o_orderkey, regexp_replace(o_orderpriority, '[^A-Z]', '', 'g') as letters from orders")

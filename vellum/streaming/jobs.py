@@ -82,15 +82,13 @@ def drained_complete(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def send_then_mark(pairs: DataFrame, send, sent_path: str):
+def send_then_mark(send, sent_path: str):
     """A batch writer for ``foreachBatch``: what isn't marked is sent, and marked only after that."""
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        try:
-            sent = spark.read.parquet(sent_path)
-        except Exception:  # nothing was sent yet
-            sent = batch.limit(0)
+        spark.createDataFrame([], batch.schema).write.mode("append").parquet(sent_path)  # so that it can be read
+        sent = spark.read.schema(batch.schema).parquet(sent_path)
         new = batch.dropDuplicates().join(sent, batch.columns, "left_anti").persist()
         send(new)
         new.write.mode("append").parquet(sent_path)
