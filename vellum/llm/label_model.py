@@ -12,31 +12,40 @@ import numpy as np
 
 VALUES = np.array([-1, 0, 1])
 ROUNDS, STEPS = 3, 25
-#: Correlations below this are taken for noise.
-LEAST_CORRELATION = 0.2
+#: Correlations below the first are taken for noise; voters with raw ones above the second for twins.
+LEAST_CORRELATION, TWINS = 0.2, 0.6
 
 
 def posteriors(votes: np.ndarray, positive: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's probability of label 1, the voters' laws [label, voter, vote] and their correlations."""
-    n, m = votes.shape
     is_vote = (votes[:, :, None] == VALUES).astype(np.float64)
     prior = np.log([1 - positive, positive])
     balance = votes.sum(axis=1)
     p = np.clip(positive + 0.3 * np.sign(balance), 0.01, 0.99)
-    share, correlation = np.ones(m), np.eye(m)
-    law = np.full((2, m, 3), 1 / 3)
+    # voters that nearly always agree are company from the start, else the label would become theirs
+    share = _shares(_correlation(votes - votes.mean(axis=0)), TWINS)
     for _ in range(ROUNDS):
         for _ in range(STEPS):
-            weight = np.stack([1 - p, p])
-            law = np.einsum("yn,nmv->ymv", weight, is_vote) + 0.5
-            law /= law.sum(axis=2, keepdims=True)
+            law = _laws(p, is_vote)
             evidence = np.einsum("nmv,ymv,m->yn", is_vote, np.log(law), share) + prior[:, None]
             p = 1 / (1 + np.exp(np.clip(evidence[0] - evidence[1], -60, 60)))
         mean = np.einsum("ymv,v->ym", law, VALUES)
-        left = votes - (1 - p)[:, None] * mean[0] - p[:, None] * mean[1]
-        scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
-        correlation = (left.T @ left) / n / np.outer(scale, scale)
-        strong = np.where(np.abs(correlation) >= LEAST_CORRELATION, np.abs(correlation), 0)
-        np.fill_diagonal(strong, 0)
-        share = 1 / (1 + strong.sum(axis=1))
+        correlation = _correlation(votes - (1 - p)[:, None] * mean[0] - p[:, None] * mean[1])
+        share = _shares(correlation, LEAST_CORRELATION)
     return p, law, correlation
+
+
+def _correlation(left: np.ndarray) -> np.ndarray:
+    scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
+    return (left.T @ left) / len(left) / np.outer(scale, scale)
+
+
+def _shares(correlation: np.ndarray, least: float) -> np.ndarray:
+    strong = np.where(np.abs(correlation) >= least, np.abs(correlation), 0)
+    np.fill_diagonal(strong, 0)
+    return 1 / (1 + strong.sum(axis=1))
+
+
+def _laws(p: np.ndarray, is_vote: np.ndarray) -> np.ndarray:
+    law = np.einsum("yn,nmv->ymv", np.stack([1 - p, p]), is_vote) + 0.5
+    return law / law.sum(axis=2, keepdims=True)
