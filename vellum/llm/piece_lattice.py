@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _Rows, batches, vocabulary
+from .common import _Rows, batches, small_batches, vocabulary
 
 MODEL_NAME = "piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_ROWS = 1024
+BATCH_ROWS = 4096
 MAX_WORDS = 300_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _END = 0x110000  # stands between words; no character
@@ -121,15 +121,26 @@ class PieceTable:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the ``depth`` code points from each on, by doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    reach = 1
+    """Positions sorted by the ``depth`` code points from each on: as many as fit into one integer
+    are sorted at once, and doubling goes on from there."""
+    kinds, rank = np.unique(codes, return_inverse=True)
+    bits = int(len(kinds)).bit_length()  # 0 stands for what is beyond the end
+    reach = min(63 // bits, depth)
+    key = np.zeros(len(codes), np.int64)
+    for k in range(reach):
+        key <<= bits
+        key[: len(codes) - k] |= rank[k:] + 1
+    order = np.argsort(key, kind="stable")
     while reach < depth:
-        after = np.zeros(len(rank), np.int64)
+        key = key[order]
+        rank = np.empty(len(codes), np.int64)
+        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        after = np.zeros(len(codes), np.int64)
         after[:-reach] = rank[reach:] + 1
-        _, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
+        key = rank * (int(rank.max()) + 2) + after
+        order = np.argsort(key, kind="stable")
         reach *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +274,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): every text's piece ids, and the text decoded from them."""
     path = model or vocabulary(MODEL_NAME)
+    small_batches(docs.sparkSession, "16m")
 
     def run(it):
         encoder = piece_encoder(path)
@@ -279,6 +291,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_chars, decoded_crc32, round_trip) of every text."""
     path = model or vocabulary(MODEL_NAME)
+    small_batches(docs.sparkSession, "16m")
 
     def run(it):
         encoder = piece_encoder(path)
