@@ -40,6 +40,11 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches of this session, so that Python workers hold few texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
@@ -87,7 +92,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
         # for lower-case Latin letters, which the vocabulary's own steps would leave as they are
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -147,6 +153,10 @@ class WordEncoder:
         self.piece.update(zip(pieces, range(n, n + len(pieces))))
         self.pieces.add(flat, size)
 
+    def forget(self) -> None:
+        """Gives the cache's memory back, as a worker may do other work next."""
+        self._reset()
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, the end id after each text, and the ids' count per text."""
         if len(self.number) > self.max_words:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches
+from .common import batches, small_batches
 
 CHUNK = 1 << 16
 SIGMA = 1.5
@@ -222,5 +222,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    small_batches(pages.sparkSession)
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import END_ID, batches, vocabulary, word_encoder
+from .common import END_ID, batches, small_batches, vocabulary, word_encoder
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 64 * 4096
@@ -112,6 +112,7 @@ def deal(sizes: list[int], step_tokens: int) -> np.ndarray:
 def pack_documents(docs: DataFrame, vocab: str | None = None, tiers=TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece; ``sequence_id`` and ``step_group`` are unique over all partitions."""
     vocab = vocab or vocabulary()
+    small_batches(docs.sparkSession)
 
     def pool_rows(part: int, pool: int, doc_ids: list, ids: list, counts: list) -> pa.RecordBatch:
         ids, counts = np.concatenate(ids).astype("<u4"), np.concatenate(counts)
@@ -147,5 +148,7 @@ def pack_documents(docs: DataFrame, vocab: str | None = None, tiers=TIERS, step_
                 pool, doc_ids, ids, counts, held = pool + 1, [], [], [], 0
         if doc_ids:
             yield pool_rows(part, pool, doc_ids, ids, counts)
+        if encoder:
+            encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

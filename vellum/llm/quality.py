@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import beside, stored
+from .common import beside, small_batches, stored
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -85,6 +85,7 @@ def _key(*names: str) -> F.Column:
 
 def _with_statistics(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with their statistics, in a column of a new name."""
+    small_batches(docs.sparkSession)
     statistics = F.arrow_udf(_statistics, STATS).asNondeterministic()  # once, in this projection
     return beside(docs, statistics(F.col("text").cast("string")), "statistics")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, stored
+from .common import batches, small_batches, stored
 from .components import connected_components
 
 SEED = 42
@@ -48,6 +48,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
+    small_batches(docs.sparkSession)
+
     def run(it):
         for batch in batches(it):
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)

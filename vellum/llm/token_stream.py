@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import END_ID, batches, vocabulary, word_encoder, work_dir
+from .common import END_ID, batches, small_batches, vocabulary, word_encoder, work_dir
 
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
@@ -108,6 +108,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
     and moves it into place only when whole.
     """
     vocab = vocab or vocabulary()
+    small_batches(docs.sparkSession)
 
     def write(it):
         part = TaskContext.get().partitionId()
@@ -128,6 +129,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
             at, n_docs = at + len(ids), n_docs + batch.num_rows
         if encoder is None:
             return
+        encoder.forget()
         sequences.close()
         index.close()
         ids_sink.close()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, beside, stored
+from .common import batches, beside, small_batches, stored
 from .label_model import posteriors
 
 MAX_LABELLED = 20_000
@@ -32,6 +32,8 @@ MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 96, 18.0
 PREFIXES = (4, 5, 6)
 #: A token is a word or beginning found at least so often in a text; it is written "text|times".
 TIMES = (1, 2, 4)
+#: Words and tokens that a Python worker remembers at once.
+MAX_CACHED = 150_000
 PENALTY, DESCENTS = 0.2, 400
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,7 +72,7 @@ def _token_counts(it):
                 for stem in stems_of(word):
                     stems[stem] += times
             counts[toxic].update([f"{stem}|{n}" for stem, times in stems.items() for n in TIMES if times >= n])
-        if len(counts[0]) + len(counts[1]) > 500_000:
+        if len(counts[0]) + len(counts[1]) > MAX_CACHED:
             yield flush()
             counts = Counter(), Counter()
     yield flush()
@@ -112,7 +114,7 @@ class Voters:
         """The text's known tokens, its count of words, and whether it shouts."""
         text = text or ""
         words = self.words
-        if len(words) > 500_000:
+        if len(words) > MAX_CACHED:
             words.clear()
         every = Counter(_WORD.findall(text.lower()))
         stems: Counter = Counter()
@@ -161,6 +163,7 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+        small_batches(docs.sparkSession)
         rows = stored(training_rows(docs, labels, max_labelled), "toxicity-training")
         kinds = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         all0, all1 = kinds.get(0, 0), kinds.get(1, 0)
@@ -201,7 +204,7 @@ class ToxicityModel:
         return pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _voters(tokens: tuple[str, ...]) -> Voters:
     return Voters(list(tokens), 0)
 
