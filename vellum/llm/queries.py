@@ -62,4 +62,17 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
+# the checksum of a text, byte by byte, with the table made by its rule
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 17)::bigint)),
+ lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]))"""
+_SHARDS = f"""with crc as (select list(list_reduce([n::bigint, 1::bigint, 2::bigint, 3::bigint, 4::bigint, 5::bigint, 6::bigint, 7::bigint, 8::bigint], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) order by n) as crc_table from range(0, 256) r(n)),
+ sized as (select doc_id, strlen(coalesce(text, '')) + 8 as size, hex(encode(coalesce(text, ''))) as h from documents),
+ placed as (select *, (sum(size) over (order by doc_id rows unbounded preceding))::bigint as stop, (sum(size) over ())::bigint as total, row_number() over (order by doc_id) as r from sized),
+ cut as (select *, least(24 * (2 * stop - size) // (2 * total), 23) as shard from placed)
+ select doc_id, size, xor({_CRC}, 4294967295::bigint)::bigint as text_crc32, 'bytes' as law, shard::int as shard, r - min(r) over (partition by shard) as slot, null::int as grown_shard from cut, crc"""
+
+_TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+ select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op6_sharding": _SHARDS, "op9_top_k": _TOP_K, "op10_license_scan": licenses.oracle_sql()}
