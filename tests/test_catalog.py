@@ -56,3 +56,13 @@ def test_query_runs(spark, small, name):
 
 def test_flagship(spark, small):
     assert catalog.flagship(spark, small).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0

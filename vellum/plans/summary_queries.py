@@ -9,17 +9,19 @@ from ..functions.channels import inferred_kind, merged_channels
 from ..operators import feeds, windows as w
 from .registry import query
 
-_K = F.col("id")
+
+def _k() -> F.Column:
+    return F.col("id")
 
 
 def _docs(t):
     """Notices with a stored summary: of several forms, broken every seventh, without one every fifth."""
     item = lambda text: F.struct(text.alias("text"), F.lit("q").alias("quote"))
-    who = F.array(item(F.col("title")), item(F.when(_K % 2 == 0, F.lit(" ")).otherwise(F.repeat(F.lit("x"), 301))))
+    who = F.array(item(F.col("title")), item(F.when(_k() % 2 == 0, F.lit(" ")).otherwise(F.repeat(F.lit("x"), 301))))
     full = F.to_json(F.struct(F.col("title").alias("what"), who.alias("who"), F.array().cast("array<string>").alias("changes"), F.array().cast("array<string>").alias("impacts")))
     plain = F.to_json(F.struct(F.col("title").alias("what"), who.alias("who")))
     changed = F.to_json(F.struct(F.col("title").alias("what"), who.alias("who"), F.array().cast("array<string>").alias("changes")))
-    doc = F.when(_K % 7 == 0, F.lit("{broken")).when(_K % 5 == 0, F.lit(None).cast("string")).when(_K % 3 == 0, plain).when(_K % 3 == 1, changed).otherwise(full)
+    doc = F.when(_k() % 7 == 0, F.lit("{broken")).when(_k() % 5 == 0, F.lit(None).cast("string")).when(_k() % 3 == 0, plain).when(_k() % 3 == 1, changed).otherwise(full)
     return t.notices.select("id", "title", "body", "status", "audience", "clicks", doc.alias("doc"))
 
 
@@ -28,12 +30,12 @@ _FORM = "case when id % 7 = 0 or id % 5 = 0 then 'none' when id % 3 = 0 then 'pl
 
 @query("p33_template", f"select id, {_FORM} as form from notices")
 def _(t):
-    return _docs(t).select("id", s.template(F.when(_K % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("doc"))).alias("form"))
+    return _docs(t).select("id", s.template(F.when(_k() % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("doc"))).alias("form"))
 
 
 @query("p26_redraft", "select id, case when status = 'closed' then 'closed' when clicks > 95 then 'manual' when id % 7 = 0 or id % 5 = 0 then 'unparseable' when id % 3 <> 2 then 'no impacts key' end as reason from notices")
 def _(t):
-    doc = F.when(_K % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("doc"))
+    doc = F.when(_k() % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("doc"))
     return _docs(t).select("id", s.redraft_reason(doc, F.col("status"), F.col("clicks") > 95).alias("reason"))
 
 
@@ -157,7 +159,7 @@ def _ranked_files(t):
 
 @query("t07_feed_plan", "select id as notice_id, '(body)' as name, least(length(body), 20000)::bigint as given from notices where id % 3 = 0 and id not in (select notice_id from files where status = 'ok')")
 def _(t):
-    audiences = t.notices.select(F.col("id").alias("notice_id"), "audience", (_K % 3 == 0).alias("body_is_draft"), F.length("body").cast("long").alias("body_chars"))
+    audiences = t.notices.select(F.col("id").alias("notice_id"), "audience", (_k() % 3 == 0).alias("body_is_draft"), F.length("body").cast("long").alias("body_chars"))
     return feeds.feed_plan(_ranked_files(t), audiences).where("name = '(body)'")
 
 
