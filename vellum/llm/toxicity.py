@@ -14,6 +14,7 @@ toxic; without training rows of both kinds every score is 0; an empty table give
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -28,7 +29,7 @@ from .label_model import posteriors
 MAX_LABELLED = 20_000
 FOLDS = 5
 #: Known words and beginnings, those of them that vote, and the least evidence (G squared) for either.
-MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 96, 18.0
+MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 96, 12.0
 PREFIXES = (4, 5, 6)
 #: A token is a word or beginning found at least so often in a text; it is written "text|times".
 TIMES = (1, 2, 4)
@@ -170,11 +171,14 @@ class ToxicityModel:
         if not all0 or not all1:
             return cls([], [], None)
         counts = rows.mapInArrow(_token_counts, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        counts = stored(counts, "toxicity-tokens")
+        tested = counts.where("n0 + n1 > 1").count()
+        least = max(LEAST_EVIDENCE, 2 * math.log(max(tested, 1)))  # what the best of so many would have by chance
         n = all0 + all1
         expected = {k: (F.col("n0") + F.col("n1")) * (a / n) for k, a in ((0, all0), (1, all1))}
         cell = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         g = 2 * (cell(F.col("n0"), expected[0]) + cell(F.col("n1"), expected[1]) + cell(all0 - F.col("n0"), all0 - expected[0]) + cell(all1 - F.col("n1"), all1 - expected[1]))
-        best = counts.withColumn("g", g).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), F.desc(F.length("token")), "token").limit(MAX_TOKENS).collect()
+        best = counts.withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), F.desc(F.length("token")), "token").limit(MAX_TOKENS).collect()
         speaks = _evidence(np.array([r.n0 for r in best]), np.array([r.n1 for r in best]), all0, all1) if best else np.empty(0)
         lexicon = _distinct([r.token for r, s in zip(best, speaks) if s > 0])
         tokens = lexicon + _distinct([r.token for r, s in zip(best, speaks) if s <= 0])
