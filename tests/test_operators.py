@@ -190,3 +190,24 @@ def test_sends_are_marked_after_sending(spark, tmp_path):
 def test_jobs_fail_alone():
     done = []
     assert jobs.run_jobs([("a", lambda: 1 / 0), ("b", lambda: done.append(1))]) == [("a", "failed: division by zero"), ("b", "ok")] and done
+
+
+def test_normalizers_and_notes(spark):
+    from vellum.functions import rules
+
+    r = one(
+        spark,
+        rules.email(F.lit(" A@B.org ")),
+        rules.email(F.lit("a@b")),
+        rules.keywords(F.lit("甲, 乙，甲、\n丙"), 2),
+        rules.document_names(F.lit("《某条例》和《某标准》、《某条例》")),
+        rules.heading_lines(F.lit("一、背景\n正文\n（二）内容")),
+        rules.looks_like_draft(F.lit("第一条 短")),
+        rules.intake_sentence(F.lit(3), F.lit(2), F.lit(10), F.lit(True)),
+        rules.change_note(F.lit(0), F.lit(2)),
+        rules.summary_after(F.lit("failed_review"), F.lit("old"), F.lit("new"))[0],
+    )
+    assert tuple(r) == ("a@b.org", None, ["甲", "乙"], ["某条例", "某标准"], ["一、背景", "（二）内容"], False, "2 of 3 files, 10 characters, cut to the budget", "2 statements of change", "old")
+    assert rules.int_setting({"a": " "}, "a", 5, 1, 9) == 5 and rules.int_setting({"a": "7"}, "a", 5, 1, 9) == 7
+    with pytest.raises(ValueError):
+        rules.int_setting({"a": "x"}, "a", 5, 1, 9)
