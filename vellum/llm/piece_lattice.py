@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding through a suffix array.
 
-A batch's distinct words (runs of the space mark with what follows) are concatenated into one array
+A batch's distinct words (runs of the space mark with what follows, up to a full stop or comma if no
+piece joins one to a letter) are concatenated into one array
 of code points and its suffixes are sorted as deep as the longest piece. Every piece of the
 vocabulary is then searched in the suffix array, character by character, which gives the range of
 its occurrences; the occurrences of all pieces are the edges of a lattice. Edges are sorted by
@@ -32,6 +33,8 @@ SPACE = "▁"
 BATCH_ROWS = 4096
 MAX_WORDS = 300_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: For vocabularies without a piece that joins a letter and a stop after it: words end there too.
+_WORD_OR_STOP = re.compile(rf"{SPACE}*[^{SPACE}.,]*[^\W\d_](?=[.,])|{SPACE}*[^{SPACE}]+|{SPACE}+")
 _END = 0x110000  # stands between words; no character
 _START, _OPEN, _BYTES = -3, -1, -2
 
@@ -57,6 +60,8 @@ class PieceTable:
         plain = [i for i in range(size) if not special[i]]
         if any(SPACE in self.texts[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece crosses words; they can't be encoded one by one")
+        stops = any(a.isalpha() and b in ".," for i in plain for a, b in zip(self.texts[i], self.texts[i][1:]))
+        self.word = _WORD if stops else _WORD_OR_STOP
         self.as_bytes = [bytes([int(t[1:-1], 16)]) if model.is_byte(i) else b"" if special[i] else t.encode() for i, t in enumerate(self.texts)]
         by_score = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.rank = np.zeros(size, np.int64)
@@ -246,12 +251,12 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > MAX_WORDS:
             self.number, self.words = {}, _Rows(np.int32)
-        normal = self.table.model.normalize
+        normal, find = self.table.model.normalize, self.table.word.findall
         words: list[str] = []
         ends = []
         for text in texts:
             if text:
-                words += _WORD.findall(normal(text))
+                words += find(normal(text))
             ends.append(len(words))
         if new := [w for w in dict.fromkeys(words) if w not in self.number]:
             self._learn(new)
