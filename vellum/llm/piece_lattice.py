@@ -134,7 +134,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(len(codes), np.int64)
     for k in range(reach):
         key <<= bits
-        key[: len(codes) - k] |= rank[k:] + 1
+        key[: max(len(codes) - k, 0)] |= rank[k:] + 1
     order = np.argsort(key, kind="stable")
     while reach < depth:
         key = key[order]
