@@ -31,7 +31,7 @@ from .common import _Rows, batches, small_batches, vocabulary
 MODEL_NAME = "piece_bpe_32k.model"
 SPACE = "▁"
 BATCH_ROWS = 4096
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: For vocabularies without a piece that joins a letter and a stop after it: words end there too.
 _WORD_OR_STOP = re.compile(rf"{SPACE}*[^{SPACE}.,]*[^\W\d_](?=[.,])|{SPACE}*[^{SPACE}]+|{SPACE}+")
