@@ -88,7 +88,7 @@ class WordEncoder:
     the same ids.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, max_words: int = 300_000):
+    def __init__(self, path: str, end_id: int = END_ID, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
