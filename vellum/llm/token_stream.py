@@ -129,7 +129,6 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
             at, n_docs = at + len(ids), n_docs + batch.num_rows
         if encoder is None:
             return
-        encoder.forget()
         sequences.close()
         index.close()
         ids_sink.close()
