@@ -36,6 +36,12 @@ def test_white_space_and_entities():
     assert main_text("<article><p>a\n b&nbsp;&#x41;<b>c</b><br>d</p><p> </p><p>&lt;e&gt;</p></article>") == "a b Ac d\n<e>"
 
 
+@pytest.mark.parametrize("element", ["<script src=x></script>", "<script>var a = 1</script>", "<button>Copy</button>", "<svg><text>logo</text></svg>", "<iframe src=x></iframe>", "<select><option>x</option></select>", "<span class=ad>Buy</span>", "<noscript>off</noscript>"])
+def test_excluded_elements_within_a_line(element):
+    assert main_text(f"<article><p>{P[0]} {element} and more</p><p>{P[1]}</p></article>") == f"{P[0]} and more\n{P[1]}"
+    assert main_text(f"<div>{P[0]}{element} and more</div>") == f"{P[0]} and more"
+
+
 def test_generated_pages_against_their_articles(spark, small):
     got = {r.page_id: r for r in extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()}
     for page_id, url, html in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect():

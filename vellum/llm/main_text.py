@@ -3,7 +3,7 @@
 The standard library's parser is fed a page in pieces; its events become blocks (the lines of a
 page without its markup), each with its text, its count of tags and the elements it stands in.
 A block's ratio is its text's length per tag; blocks inside menus, forms, adverts and the like have
-none. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
+none, and such elements within a line are left out of its text. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
 The content region is then made whole: of the elements that hold nearly all of the high cluster's
 text the innermost is taken, and all its blocks that are not excluded are the main text, short
 ones too. A page whose region is its whole body keeps what lies between the first and last high block.
@@ -37,6 +37,8 @@ SPACES = frozenset("br td th wbr img input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is never an article's.
 NOT_TEXT = frozenset("head title script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video menu dialog map".split())
+#: Of these, the ones that stand within a line and may hold blocks, which do not end that line.
+_WITHIN = frozenset("button select object svg canvas audio video iframe".split())
 #: Names in class, id and role that mark parts of a page beside its article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply responses search share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split()
@@ -71,28 +73,35 @@ class BlockParser(HTMLParser):
         self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.names: dict[int, str] = {}
         self.parts: list[str] = []
+        self.dropped: list[str] = []  # the block's pieces in excluded elements
         self.tags = self.n = 0
 
     def flush(self) -> None:
-        if self.parts:
+        if self.parts or self.dropped:
             text = " ".join("".join(self.parts).split())
+            excluded = not text
+            if excluded:
+                text = " ".join("".join(self.dropped).split())
             if text:
-                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), self._excluded()))
-            self.parts = []
+                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded))
+            self.parts, self.dropped = [], []
             self.tags = 0
 
     def _excluded(self) -> bool:
         if not self.stack:
             return False
-        heading = any(s[0] in HEADINGS for s in self.stack)
-        return self.stack[-1][2] or (self.stack[-1][3] and not heading)
+        top = self.stack[-1]
+        return top[2] or (top[3] and not any(s[0] in HEADINGS for s in self.stack))
+
+    def _within(self) -> bool:
+        return bool(self.stack and self.stack[-1][2]) and any(s[0] in _WITHIN for s in self.stack)
 
     def _pop_to(self, k: int) -> None:
         self.flush()
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self._within():
             self.flush()
             for k in range(len(self.stack) - 1, -1, -1):  # a paragraph ends at the next block, an item at the next item
                 open_tag = self.stack[k][0]
@@ -130,13 +139,14 @@ class BlockParser(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in BLOCKS:
+        within = self._within()
+        if tag in BLOCKS and not within:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                if tag in BLOCKS or tag in NOT_TEXT:
+                if (tag in BLOCKS and not (within and any(s[0] in _WITHIN for s in self.stack[:k]))) or (tag in NOT_TEXT and not any(map(str.strip, self.parts))):
                     self._pop_to(k)
-                else:
+                else:  # an element within a line leaves the text around it one block
                     del self.stack[k:]
                 break
             if tag not in BLOCKS and self.stack[k][0] in BLOCKS:
@@ -145,7 +155,7 @@ class BlockParser(HTMLParser):
             self.parts.append(" ")
 
     def handle_data(self, data):
-        self.parts.append(data)
+        (self.dropped if self._excluded() else self.parts).append(data)
 
     def close(self):
         super().close()
