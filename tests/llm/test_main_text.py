@@ -42,6 +42,25 @@ def test_excluded_elements_within_a_line(element):
     assert main_text(f"<div>{P[0]}{element} and more</div>") == f"{P[0]} and more"
 
 
+LONG = " ".join(f"{P[0]} {k}." for k in range(40))
+LONG_PARTS = {
+    "pre": f"<pre>{LONG}</pre>",
+    "li": f"<ul><li>{LONG}</li><li>x</li></ul>",
+    "blockquote": f"<blockquote>{LONG}</blockquote>",
+    "td": f"<table><tr><td>{LONG}</td></tr></table>",
+    "dd": f"<dl><dd>{LONG}</dd></dl>",
+    "section": f"<section>{LONG}</section>",
+    "div": f"<div class=body><p>{LONG}</p></div>",
+}
+
+
+@pytest.mark.parametrize("part", LONG_PARTS)
+@pytest.mark.parametrize("around", ["<div class=post>{}</div>", "{}", "<div id=page><nav><a href=/>Home</a></nav><div class=post>{}</div></div>", "<nav><a href=/>Home</a></nav>{}<footer>x</footer>", "<div><a href=/>Home</a> <a href=/a>A</a></div><div class=post>{}</div>"])
+def test_one_long_part_does_not_end_the_region(part, around):
+    html = f"<body>{around.format(f'<h1>Head line</h1><p>Lead.</p>{LONG_PARTS[part]}<p>End.</p>')}</body>"
+    assert main_text(html) == "\n".join(["Head line", "Lead.", LONG, *(["x"] if part == "li" else []), "End."])
+
+
 def test_generated_pages_against_their_articles(spark, small):
     got = {r.page_id: r for r in extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()}
     for page_id, url, html in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect():

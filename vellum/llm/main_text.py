@@ -4,9 +4,11 @@ The standard library's parser is fed a page in pieces; its events become blocks
 page without its markup), each with its text, its count of tags and the elements it stands in.
 A block's ratio is its text's length per tag; blocks inside menus, forms, adverts and the like have
 none, and such elements within a line are left out of its text. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
-The content region is then made whole: of the elements that hold nearly all of the high cluster's
-text the innermost is taken, and all its blocks that are not excluded are the main text, short
-ones too. A page whose region is its whole body keeps what lies between the first and last high block.
+The content region is then made whole: an article or main that holds nearly all of the high cluster's
+text is taken, else the innermost sectioning element that does, widened to the outermost one around it
+that adds no part of the page's frame (menu, header, footer, sidebar). All its blocks that are not
+excluded are the main text, short ones too. A page whose region is its whole body keeps what lies between
+the first and last high block, and what goes on from there up to the page's frame or to lines of links.
 
 Defined results: null, empty and text-free pages give an empty string; repeated rows give repeated
 results; an empty table gives no rows; pages of any length are read whole; only three columns of
@@ -43,8 +45,13 @@ _WITHIN = frozenset("button select object svg canvas audio video iframe".split()
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply responses search share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements and names of the page's frame, which a content region is never widened over.
+FRAME = frozenset("banner contentinfo header masthead menu nav navbar navigation sidebar".split())
+#: Share of a line's characters that stand in links, from which on it is a line of links.
+LINKED = 0.7
 _NAME = re.compile(r"[a-z]+")
-_WHOLE = frozenset(("html", "body", "article", "main"))
+#: Elements that may hold the content region; a list, table, quotation or listing is a part of it.
+_HOLDERS = frozenset(("html", "body", "article", "main", "section", "div"))
 #: Elements that an opening article or main ends if their own end is missing.
 _ENDED = frozenset(("nav", "header", "footer", "form", "menu"))
 
@@ -64,17 +71,21 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _framed(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name in ("class", "id", "role") and value and not FRAME.isdisjoint(_NAME.findall(value.lower())) for name, value in attrs)
+
+
 class BlockParser(HTMLParser):
-    """Collects blocks: (text, tags, ids of the open elements, excluded)."""
+    """Collects blocks: (text, tags, ids of the open elements, excluded, links if it is a line of links, inside the page's frame)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, id, excluded, header of an article
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, id, excluded, header of an article, link, frame
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []
         self.names: dict[int, str] = {}
         self.parts: list[str] = []
         self.dropped: list[str] = []  # the block's pieces in excluded elements
-        self.tags = self.n = 0
+        self.tags = self.n = self.links = self.linked = 0
 
     def flush(self) -> None:
         if self.parts or self.dropped:
@@ -83,9 +94,10 @@ class BlockParser(HTMLParser):
             if excluded:
                 text = " ".join("".join(self.dropped).split())
             if text:
-                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded))
+                links = self.links if self.linked >= LINKED * len(text) and not excluded else 0
+                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded, links, excluded and bool(self.stack) and self.stack[-1][5]))
             self.parts, self.dropped = [], []
-            self.tags = 0
+            self.tags = self.links = self.linked = 0
 
     def _excluded(self) -> bool:
         if not self.stack:
@@ -130,7 +142,9 @@ class BlockParser(HTMLParser):
         self.n += 1
         if tag in BLOCKS:
             self.names[self.n] = tag
-        self.stack.append((tag, self.n, excluded, in_header))
+        link = tag == "a" or bool(self.stack and self.stack[-1][4])
+        frame = bool(self.stack and self.stack[-1][5]) or (excluded and (tag in FRAME or _framed(attrs)))
+        self.stack.append((tag, self.n, excluded, in_header, link, frame))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -155,7 +169,13 @@ class BlockParser(HTMLParser):
             self.parts.append(" ")
 
     def handle_data(self, data):
-        (self.dropped if self._excluded() else self.parts).append(data)
+        if self._excluded():
+            self.dropped.append(data)
+            return
+        self.parts.append(data)
+        if self.stack and self.stack[-1][4]:
+            self.links += 1
+            self.linked += len(data)
 
     def close(self):
         super().close()
@@ -207,20 +227,55 @@ def main_text(html: str | None) -> str:
             for element in b[2]:
                 if element in parser.names:
                     mass[element] = mass.get(element, 0) + len(b[0])
-    holders = [e for e, m in mass.items() if m >= MOST * total and parser.names[e] not in ("p", *HEADINGS)]
-    inner = max(holders, default=None)  # ids grow inwards along a path
-    whole = [e for e in holders if parser.names[e] in ("article", "main")]
-    if whole:
-        inner = whole[-1] if inner is None else max(e for e in whole)
-    if inner is not None and parser.names[inner] not in ("html", "body"):
+    holders = [e for e, m in mass.items() if m >= MOST * total and parser.names[e] in _HOLDERS]
+    if whole := [e for e in holders if parser.names[e] in ("article", "main")]:
+        inner = max(whole)  # ids grow inwards along a path
         return "\n".join(b[0] for b in open_blocks if inner in b[2])
-    at = np.flatnonzero(high)
-    first, last = int(at[0]), int(at[-1])
-    while first and not blocks[first - 1][3] and parser.names.get(blocks[first - 1][2][-1] if blocks[first - 1][2] else 0) in HEADINGS:
-        first -= 1  # the region's own heading
+    inner = max((e for e in holders if parser.names[e] not in ("html", "body")), default=None)
+    if inner is None:
+        at = np.flatnonzero(high)
+        first, last = int(at[0]), int(at[-1])
+    else:
+        first, last = _widened(parser, inner)
+    while first and not _ends_region(blocks, first - 1):
+        first -= 1
+    while last + 1 < len(blocks) and not _ends_region(blocks, last + 1):
+        last += 1
     return "\n".join(b[0] for b in blocks[first : last + 1] if not b[3])
 
 
+def _ends_region(blocks: list[tuple], k: int) -> bool:
+    """Whether block ``k`` is of the page's frame, or a line of a menu: of several links, or of one next to others."""
+    if not blocks[k][4]:
+        return blocks[k][5]
+    return blocks[k][4] > 1 or any(0 <= j < len(blocks) and blocks[j][4] for j in (k - 1, k + 1))
+
+
+def _widened(parser: BlockParser, inner: int) -> tuple[int, int]:
+    """First and last block of the outermost element around ``inner`` that adds no frame, and no menu before it."""
+    blocks = parser.blocks
+    path = next(b[2] for b in blocks if inner in b[2])
+    around = set(path[: path.index(inner) + 1])
+    spans: dict[int, tuple[int, int]] = {}
+    for k, b in enumerate(blocks):
+        for element in b[2]:
+            if element not in around:
+                break  # the rest of the path is not around ``inner`` either
+            spans[element] = spans.get(element, (k, k))[0], k
+    first, last = spans[inner]
+    for element in reversed(path[: path.index(inner)]):
+        name = parser.names.get(element)
+        if name in ("html", "body"):
+            break
+        if name not in _HOLDERS:
+            continue
+        start, stop = spans[element]
+        if any(_ends_region(blocks, k) for k in range(start, first)) or any(b[5] for b in blocks[last + 1 : stop + 1]):
+            break
+        first, last = start, stop
+    return first, last
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
 
