@@ -61,6 +61,32 @@ def test_one_long_part_does_not_end_the_region(part, around):
     assert main_text(html) == "\n".join(["Head line", "Lead.", LONG, *(["x"] if part == "li" else []), "End."])
 
 
+WRAPPERS = {
+    "has": f"<div class='content has-sidebar'><article>{ARTICLE}</article></div>",
+    "with": f"<div id='page-with-sidebar'>{ARTICLE}</div>",
+    "main": f"<main class='with-sidebar'>{ARTICLE}</main>",
+    "no": f"<div class='no-comments'>{ARTICLE}</div>",
+    "layout": f"<div class='sidebar-layout'>{ARTICLE}<div class='sidebar'><p>{P[0]}</p></div></div>",
+    "main layout": f"<nav><a href='/'>x</a><main class='sidebar-layout'>{ARTICLE}</main>",
+    "inline": f"<x-page class='search-page'><div>{ARTICLE}</div></x-page>",
+    "talk": f"<div class='discussion'><article>{ARTICLE}</article><div class='comment'><p>{P[0]}</p></div></div>",
+    "post-header": f"<article><div class='post-header'><h1>Head line</h1><p>By someone</p></div>{ARTICLE[18:]}</article>",
+    "post-header of a div": f"<div id=content><div class='entry-header'><h1>Head line</h1></div>{ARTICLE[18:]}</div>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_names_of_wrappers_exclude_nothing(name):
+    assert main_text(f"<body>{MENU}{WRAPPERS[name]}<div class='footer'>Bottom</div></body>") == WANT
+
+
+@pytest.mark.parametrize("talk", ["<section id='comments'>{}</section>", "<div class='replies'>{}</div>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_long_comments_stay_out(tag, talk):
+    comments = "".join(f"<article class='comment'><p>{P[0]} {k}</p></article>" for k in range(30))
+    assert main_text(f"<body>{MENU}<{tag}>{ARTICLE}</{tag}>{talk.format(comments)}</body>") == WANT
+
+
 def test_generated_pages_against_their_articles(spark, small):
     got = {r.page_id: r for r in extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()}
     for page_id, url, html in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect():

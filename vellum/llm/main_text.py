@@ -3,7 +3,9 @@
 The standard library's parser is fed a page in pieces; its events become blocks (the lines of a
 page without its markup), each with its text, its count of tags and the elements it stands in.
 A block's ratio is its text's length per tag; blocks inside menus, forms, adverts and the like have
-none, and such elements within a line are left out of its text. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
+none, and such elements within a line are left out of its text. Elements are known by their tags and by
+names in class, id and role; a name says nothing of an element that holds most of the page's text, which
+is known only after parsing: such a page is parsed again with those elements' names disregarded. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
 The content region is then made whole: an article or main that holds nearly all of the high cluster's
 text is taken, else the innermost sectioning element that does, widened to the outermost one around it
 that adds no part of the page's frame (menu, header, footer, sidebar). All its blocks that are not
@@ -49,39 +51,67 @@ MARKS = frozenset(
 FRAME = frozenset("banner contentinfo header masthead menu nav navbar navigation sidebar".split())
 #: Share of a line's characters that stand in links, from which on it is a line of links.
 LINKED = 0.7
+#: Of the marks, those of readers' contributions, which may be longer than the article they stand below.
+TALK = frozenset("comment comments discussion disqus replies reply responses".split())
+#: Share of the page's text from which on a name doesn't exclude an element.
+WRAPS = 0.5
 _NAME = re.compile(r"[a-z]+")
+#: What a name has or lacks says nothing of the element itself: has-sidebar, page-with-comments, no-ads.
+_MODIFIED = re.compile(r"(?:(?<=\s)|^|(?<=[-_]))(?:has|with|without|no)[-_]\S*")
+#: Names of a header that belongs to an article, wherever it stands.
+_OF_ARTICLE = re.compile(r"(?:^|\s)(?:post|entry|article|story|content)[-_]+header(?=\s|$)")
+_A_HEADER = re.compile(r"(?:^|\s)(?:\S+[-_])?header(?=\s|$)")
 #: Elements that may hold the content region; a list, table, quotation or listing is a part of it.
 _HOLDERS = frozenset(("html", "body", "article", "main", "section", "div"))
 #: Elements that an opening article or main ends if their own end is missing.
 _ENDED = frozenset(("nav", "header", "footer", "form", "menu"))
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return tag not in ("html", "body")
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role") and value and tag not in ("html", "body"):
-            names = set(_NAME.findall(value.lower()))
-            if tag in ("article", "main"):
-                names &= {"comment", "comments", "reply", "replies", "related", "sidebar", "ad", "ads", "advert", "sponsored"}
-            if names & MARKS:
-                return True
     return False
 
 
+def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Names in class, id and role, without modifiers."""
+    found: set[str] = set()
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            found.update(_NAME.findall(_MODIFIED.sub(" ", value.lower())))
+    return found
+
+
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The marks that a tag's names bear."""
+    if not attrs or tag in ("html", "body"):
+        return set()
+    names = _names(attrs)
+    if tag in ("article", "main"):
+        names &= {"comment", "comments", "reply", "replies", "related", "sidebar", "ad", "ads", "advert", "sponsored"}
+    return names & MARKS
+
+
+def _header_of(attrs: list[tuple[str, str | None]], pattern: re.Pattern) -> bool:
+    return any(name in ("class", "id") and value and pattern.search(value.lower()) for name, value in attrs)
+
+
 def _framed(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(name in ("class", "id", "role") and value and not FRAME.isdisjoint(_NAME.findall(value.lower())) for name, value in attrs)
+    return not FRAME.isdisjoint(_names(attrs))
 
 
 class BlockParser(HTMLParser):
-    """Collects blocks: (text, tags, ids of the open elements, excluded, links if it is a line of links, inside the page's frame)."""
+    """Collects blocks: (text, tags, ids of the open elements, excluded, links if it is a line of links, inside the page's frame, excluded by a tag)."""
 
-    def __init__(self):
+    def __init__(self, wraps: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, id, excluded, header of an article, link, frame
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []
+        self.wraps = wraps  # ids of elements whose names are disregarded
+        self.marks: dict[int, set[str]] = {}  # of elements that their names exclude
+        self.stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = []  # tag, id, excluded, header of an article, link, frame, excluded by a tag
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int, bool, bool]] = []
         self.names: dict[int, str] = {}
         self.parts: list[str] = []
         self.dropped: list[str] = []  # the block's pieces in excluded elements
@@ -95,7 +125,8 @@ class BlockParser(HTMLParser):
                 text = " ".join("".join(self.dropped).split())
             if text:
                 links = self.links if self.linked >= LINKED * len(text) and not excluded else 0
-                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded, links, excluded and bool(self.stack) and self.stack[-1][5]))
+                frame, by_tag = self.stack[-1][5:] if excluded and self.stack else (False, False)
+                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded, links, frame, by_tag))
             self.parts, self.dropped = [], []
             self.tags = self.links = self.linked = 0
 
@@ -122,7 +153,7 @@ class BlockParser(HTMLParser):
                     break
                 if open_tag in BLOCKS:
                     break
-            if tag in ("article", "main") and not _marked(tag, attrs):
+            if tag in ("article", "main") and not _hidden(tag, attrs) and (tag == "main" or self.n + 1 in self.wraps or not _marks(tag, attrs)):
                 for k, s in enumerate(self.stack):
                     if s[0] in _ENDED:
                         self._pop_to(k)
@@ -132,19 +163,26 @@ class BlockParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        excluded = bool(self.stack and self.stack[-1][2]) or tag in NOT_TEXT or _marked(tag, attrs)
+        self.n += 1
+        by_tag = bool(self.stack and self.stack[-1][6]) or tag in NOT_TEXT or _hidden(tag, attrs)
         in_header = bool(self.stack and self.stack[-1][3])
+        marks = _marks(tag, attrs) if self.n not in self.wraps else set()
+        in_article = (tag == "header" or "header" in marks) and any(s[0] in ("article", "main") for s in self.stack)
         if tag == "header":
-            if any(s[0] in ("article", "main") for s in self.stack):
+            if in_article:
                 in_header = True
             else:
-                excluded = True
-        self.n += 1
+                by_tag = True
+        elif marks == {"header"} and _header_of(attrs, _A_HEADER if in_article else _OF_ARTICLE):
+            in_header, marks = True, set()
+        if marks:
+            self.marks[self.n] = marks
+        excluded = by_tag or bool(marks) or bool(self.stack and self.stack[-1][2])
         if tag in BLOCKS:
             self.names[self.n] = tag
         link = tag == "a" or bool(self.stack and self.stack[-1][4])
         frame = bool(self.stack and self.stack[-1][5]) or (excluded and (tag in FRAME or _framed(attrs)))
-        self.stack.append((tag, self.n, excluded, in_header, link, frame))
+        self.stack.append((tag, self.n, excluded, in_header, link, frame, by_tag))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -204,21 +242,57 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    parser = BlockParser()
-    html = html or ""
+def _high(ratios: np.ndarray) -> np.ndarray:
+    smooth = smoothed(ratios)
+    high = (smooth >= threshold(smooth)) & (ratios > 0)
+    return high if high.any() else ratios > 0
+
+
+def _parsed(html: str, wraps: frozenset[int] = frozenset()) -> BlockParser:
+    parser = BlockParser(wraps)
     for k in range(0, len(html), CHUNK):
         parser.feed(html[k : k + CHUNK])
     parser.close()
+    return parser
+
+
+def _wrappers(parser: BlockParser) -> frozenset[int]:
+    """Elements excluded by name that hold most of the page's text by the ratio, names left aside.
+
+    An article or main outside such an element is the page's text instead, and readers' contributions
+    are not, however long they are, unless the element has the page's title, article or main in it too.
+    """
+    blocks = [b for b in parser.blocks if not b[6]]
+    if not parser.marks or not blocks:
+        return frozenset()
+    high = _high(np.array([0.0 if b[6] else len(b[0]) / b[1] for b in parser.blocks]))
+    total, mass = 0, dict.fromkeys(parser.marks, 0)
+    for b, is_high in zip(parser.blocks, high):
+        if is_high:
+            total += len(b[0])
+            for element in b[2]:
+                if element in mass:
+                    mass[element] += len(b[0])
+    found = {e for e, m in mass.items() if m and m >= WRAPS * total}
+    if not found:
+        return frozenset()
+    own = ("article", "main", "h1")
+    places = [(b[2], {parser.names[e] for e in b[2] if parser.names.get(e) in own and e not in parser.marks}) for b in blocks]
+    outside = [set(path) for path, kinds in places if kinds & {"article", "main"} and parser.marks.keys().isdisjoint(path)]
+    inside = {e for path, kinds in places if kinds for e in path}
+    return frozenset(e for e in found if all(e in path for path in outside) and (e in inside or parser.marks[e].isdisjoint(TALK)))
+
+
+def main_text(html: str | None) -> str:
+    html = html or ""
+    parser = _parsed(html)
+    if wraps := _wrappers(parser):
+        parser = _parsed(html, wraps)
     blocks = parser.blocks
     open_blocks = [b for b in blocks if not b[3]]
     if not open_blocks:
         return ""
-    ratios = np.array([0.0 if b[3] else len(b[0]) / b[1] for b in blocks])
-    smooth = smoothed(ratios)
-    high = (smooth >= threshold(smooth)) & (ratios > 0)
-    if not high.any():
-        high = ratios > 0
+    high = _high(np.array([0.0 if b[3] else len(b[0]) / b[1] for b in blocks]))
     mass: dict[int, int] = {}
     total = 0
     for b, is_high in zip(blocks, high):
