@@ -110,6 +110,44 @@ def test_clauses_and_alignment(spark):
     assert diff.dice(spark.createDataFrame([(1, "abcd", "abce"), (2, "a", "b"), (3, "a a", "aa")], "pair_id long, old string, new string")).orderBy("pair_id").select("dice").toPandas()["dice"].round(6).tolist() == [0.666667, 0.0, 1.0]
 
 
+def table_pairs(old, new):
+    """The reference's rule over the whole table."""
+    n, m = len(old), len(new)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = []
+    while i < n and j < m:
+        if old[i] == new[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("most_cells", [1, 20, 200, diff.MOST_CELLS])
+def test_common_pairs_of_any_size_follow_one_rule(most_cells):
+    import random
+
+    dice = random.Random(5)
+    for k in range(120):
+        old, new = ([dice.choice("abcdef"[: 2 + k % 5]) for _ in range(dice.randrange(0, 60))] for _ in range(2))
+        assert diff.common_pairs(old, new, most_cells) == table_pairs(old, new)
+
+
+def test_a_clause_put_before_a_long_text():
+    old = [(f"第{k}条", f"第{k}条 甲{k}。") for k in range(2100)]
+    new = [("第0条", "第0条 新。"), *old[:1000], *old[1001:]]
+    got = diff.align(old, new)
+    assert [r for r in got if r[0] != "same"] == [("added", None, 0), ("removed", 1000, None)]
+    assert [r[1:] for r in got if r[0] == "same"] == [(k, k + (k < 1000)) for k in range(2100) if k != 1000]
+
+
 def rule(scope="some", categories=(), agencies=(), keywords=(), audiences=()):
     arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     return F.lit(scope), arr(categories), arr(agencies), arr(keywords), arr(audiences)

@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHAPTER = r"^\s*第[0-9一二三四五六七八九十百零〇]+[章编节]"
 ARTICLE = r"^\s*(第[0-9一二三四五六七八九十百千零〇]+条|\d+[.、)])"
 LEAST_SIMILAR = 0.5
-#: Pairs with more clauses than this in a gap are aligned by position only in that gap.
+#: Cells of the table of common lengths that are held at once; larger tables are made again part by part.
 MOST_CELLS = 4_000_000
 LONGEST_CHARS = 1500
 
@@ -43,24 +44,60 @@ def similarity(a: str, b: str) -> float:
     return 2 * (ga & gb).total() / total if total else 0.0
 
 
-def common_pairs(old: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence; the earliest old positions where there is a choice."""
-    n, m = len(old), len(new)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out = []
-    while i < n and j < m:
+def _above(old: int, new: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The row above ``below`` in the table of common lengths: at j, that of the texts from this old and new[j] on."""
+    row = below.copy()
+    np.maximum(row[:-1], np.where(new == old, below[1:] + 1, 0), out=row[:-1])
+    return np.maximum.accumulate(row[::-1])[::-1]
+
+
+def _walk(old: np.ndarray, new: np.ndarray, i: int, stop: int, row: np.ndarray, j: int, most_cells: int, out: list[tuple[int, int]]) -> int:
+    """Adds the pairs of old positions ``i`` to ``stop`` and new ones from ``j``; gives the new position reached.
+
+    ``row`` is the table's row ``stop``, from column ``j`` on. A table too large is cut into 16 parts,
+    of which only the last rows are held, so memory is in proportion to the new text.
+    """
+    rest = new[j:]
+    if stop - i > 1 and (stop - i) * len(row) > most_cells:
+        step = -(-(stop - i) // 16)
+        ends = [*range(i + step, stop, step), stop]
+        last = {stop: row}
+        for k in range(stop - 1, ends[0] - 1, -1):
+            row = _above(old[k], rest, row)
+            if (k - i) % step == 0:
+                last[k] = row
+        first = j
+        for end in ends:
+            j = _walk(old, new, i, end, last.pop(end)[j - first :], j, most_cells, out)
+            i = end
+        return j
+    rows = [row]
+    for k in range(stop - 1, i - 1, -1):
+        rows.append(_above(old[k], rest, rows[-1]))
+    start, first = i, j
+    rows.reverse()
+    while i < stop and j < len(new):
         if old[i] == new[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif rows[i + 1 - start][j - first] >= rows[i - start][j + 1 - first]:
             i += 1
         else:
             j += 1
-    return out
+    return j
+
+
+def common_pairs(old: list[str], new: list[str], most_cells: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence; the earliest old positions where there is a choice."""
+    same = 0  # a common beginning is paired in any case; a common end may have other partners
+    while same < min(len(old), len(new)) and old[same] == new[same]:
+        same += 1
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(x, len(number)) for x in side[same:]], np.int64) for side in (old, new))
+    out: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        _walk(a, b, 0, len(a), np.zeros(len(b) + 1, np.int32), 0, most_cells, out)
+    return [(k, k) for k in range(same)] + [(same + i, same + j) for i, j in out]
 
 
 def align(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> list[tuple[str, int | None, int | None]]:
@@ -70,7 +107,7 @@ def align(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> list[tuple[
     together, then the most similar ones, the earlier old and then new one first among equals.
     """
     bare = [[re.sub(r"\s+", "", t) for _, t in side] for side in (old, new)]
-    anchors = common_pairs(*bare) if len(old) * len(new) <= MOST_CELLS else [(k, k) for k in range(min(len(old), len(new))) if bare[0][k] == bare[1][k]]
+    anchors = common_pairs(*bare)
     rows: list[tuple[str, int | None, int | None]] = []
     i = j = 0
     for a, b in [*anchors, (len(old), len(new))]:
