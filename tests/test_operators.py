@@ -148,6 +148,48 @@ def test_a_clause_put_before_a_long_text():
     assert [r[1:] for r in got if r[0] == "same"] == [(k, k + (k < 1000)) for k in range(2100) if k != 1000]
 
 
+def limited(rows, seconds, most):
+    out, state = {}, {}
+    for key, at, seq in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        start, n = state.get(key, (at, 0))
+        if None not in (start, at) and (at - start).total_seconds() >= seconds:
+            start, n = at, 0
+        state[key] = start, n + 1
+        out[seq] = n < most
+    return out
+
+
+def test_folds_hold_no_client_whole(spark):
+    from vellum.operators import feeds, windows
+
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(None if k % 5 == 0 else "big" if k % 3 else f"c{k % 7}", t0 + datetime.timedelta(seconds=k * k % 9001) if k % 100 else None, k) for k in range(3000)]
+    hits = spark.createDataFrame(rows, "source_id string, at timestamp, seq long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    sizes = spark.sparkContext.accumulator(0)
+    whole = windows.folded(hits, "source_id", [], lambda s, at: (None, None), lambda batch, out: sizes.add(batch.num_rows > 64) or batch, hits.schema)
+    try:
+        assert whole.count() == 3000 and sizes.value == 0
+        got = windows.rate_limited(hits, "source_id", 60.0, 3)
+        assert got.columns == ["source_id", "at", "seq", "passed"] and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        assert {r.seq: r.passed for r in got.collect()} == limited(rows, 60.0, 3)
+        asked = hits.select(F.col("source_id").alias("host"), "seq", "at", (F.col("seq") % 4 != 0).alias("refused"))
+        policy = feeds.host_policy(asked, 2.0, 3)
+        assert "FlatMapGroupsInPandas" not in policy._jdf.queryExecution().toString()
+        want, state = {}, {}
+        for host, at, seq in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            last, refusals = state.get(host, (None, 0))
+            if refusals >= 3:
+                want[seq] = (False, "tripped")
+            elif None not in (last, at) and (at - last).total_seconds() < 2.0:
+                want[seq] = (False, "too early")
+            else:
+                want[seq], state[host] = (True, None), (at, refusals + 1 if seq % 4 else 0)
+        assert {r.seq: (r.allowed, r.reason) for r in policy.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def rule(scope="some", categories=(), agencies=(), keywords=(), audiences=()):
     arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     return F.lit(scope), arr(categories), arr(agencies), arr(keywords), arr(audiences)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .windows import allocated
+from .windows import allocated, folded
 
 #: Budgets in characters by audience: the deeper tier is for sectors.
 TIERS = {"sector": 40_000, "public": 20_000}
@@ -41,21 +41,20 @@ def circuit_broken(attempts: DataFrame, most: int = 3) -> DataFrame:
 def host_policy(requests: DataFrame, gap_seconds: float = 2.0, most_refusals: int = 3) -> DataFrame:
     """(host, seq, allowed, reason): requests of a host in order; too early ones wait, and refusals on end trip the host."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        last, refusals, out = None, 0, []
-        for at, refused in zip(pdf["at"], pdf["refused"]):
-            if refusals >= most_refusals:
-                out.append((False, "tripped"))
-                continue
-            if last is not None and (at - last).total_seconds() < gap_seconds:
-                out.append((False, "too early"))
-                continue
-            last, refusals = at, refusals + 1 if refused else 0
-            out.append((True, None))
-        return pd.DataFrame({"host": pdf["host"], "seq": pdf["seq"], "allowed": [a for a, _ in out], "reason": [r for _, r in out]})
-
-    return requests.groupBy("host").applyInPandas(fold, "host string, seq long, allowed boolean, reason string")
+    def step(state, at, refused):
+        last, refusals = state or (None, 0)
+        if refusals >= most_refusals:
+            return (last, refusals), (False, "tripped")
+        if last is not None and at is not None and (at - last) / 1e6 < gap_seconds:
+            return (last, refusals), (False, "too early")
+        return (at, refusals + 1 if refused else 0), (True, None)
+
+    def finish(batch, out):
+        allowed, reasons = pa.array([a for a, _ in out], pa.bool_()), pa.array([r for _, r in out], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("seq"), allowed, reasons], names=["host", "seq", "allowed", "reason"])
+
+    chosen = requests.select(F.col("host").cast("string"), F.col("seq").cast("long"), "at", "refused")
+    return folded(chosen, "host", ["refused"], step, finish, "host string, seq long, allowed boolean, reason string")
 
 
 def round_limited(work: DataFrame, most_files: int, most_notices: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
@@ -38,24 +38,49 @@ def failure_runs(log: DataFrame, key: str = "source_id", alert_at: int = 2, repe
     return runs.withColumn("unhealthy", F.col("failures") >= alert_at).withColumn("alert", (F.col("failures") >= alert_at) & ((F.col("failures") - alert_at) % repeat == 0)).drop("island")
 
 
+def folded(rows: DataFrame, key: str, columns: list[str], step, finish, schema) -> DataFrame:
+    """Rows of each key folded in order of ``at`` and ``seq``, null ones last.
+
+    ``step`` takes the key's state (None at first), the time in microseconds and the values of
+    ``columns``, and gives the new state and a result; ``finish`` makes a batch's rows of the batch and
+    its results. Only the last key's state goes on from batch to batch, however many rows a key has.
+    """
+
+    def micros(at: pa.Array) -> list[int | None]:
+        return at.cast(pa.timestamp("us", getattr(at.type, "tz", None))).cast(pa.int64()).to_pylist()
+
+    def run(it):
+        last, state, begun = None, None, False
+        for batch in it:
+            out = []
+            for k, *values in zip(batch.column(key).to_pylist(), micros(batch.column("at")), *(batch.column(c).to_pylist() for c in columns)):
+                if not begun or not (k == last or (k != k and last != last)):
+                    last, state, begun = k, None, True
+                state, result = step(state, *values)
+                out.append(result)
+            yield finish(batch, out)
+
+    dealt = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last())
+    return dealt.mapInArrow(run, schema)
+
+
 def rate_limited(hits: DataFrame, key: str, seconds: float, most: int) -> DataFrame:
     """Whether each hit passes a limiter whose window opens with a client's first hit after the last one closed.
 
-    A client's hits are folded in order of time; a client's rows are the group, as the state is its own.
+    A client's hits are folded in order of time; its state is the window's start and a count.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        start, n, out = None, 0, []
-        for at in pdf["at"]:
-            if start is None or (at - start).total_seconds() >= seconds:
-                start, n = at, 0
-            n += 1
-            out.append(n <= most)
-        return pdf.assign(passed=out)
+    def step(state, at):
+        start, n = state or (at, 0)
+        if start is not None and at is not None and (at - start) / 1e6 >= seconds:
+            start, n = at, 0
+        return (start, n + 1), n < most
+
+    def finish(batch, passed):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(passed, pa.bool_())], names=[*batch.schema.names, "passed"])
 
     schema = T.StructType([*hits.schema.fields, T.StructField("passed", T.BooleanType())])
-    return hits.groupBy(key).applyInPandas(fold, schema)
+    return folded(hits, key, [], step, finish, schema)
 
 
 def allocated(wanted, budget: int, reserve: int):
