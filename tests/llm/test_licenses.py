@@ -30,6 +30,25 @@ def test_own_and_inherited(spark):
     assert got[9].license == "Apache-2.0"
 
 
+def test_licences_over_lines_and_inside_paragraphs(spark):
+    import textwrap
+
+    words = "The parser was written by several people over many years and reads every file it is given. "
+    rows, want = [], []
+    for name, text in licenses.TEMPLATES:
+        if len(text) > 100:
+            rows.append("\n".join(textwrap.wrap(text, 72)))
+            rows.append("/*\n" + "\n".join(" * " + line for line in textwrap.wrap(text, 60)) + "\n */\nint main;")
+        rows.append(words * 3 + text + " " + words * 3)
+        want += [name] * (len(rows) - len(want))
+    rows.append("The whole of this work is Released under the MIT License.")
+    want.append("MIT")
+    rows.append(words * 20 + "A licence would be good to have.")
+    want.append(None)
+    got = scan(spark, [(k, f"f{k}", text, 0) for k, text in enumerate(rows)])
+    assert [got[k].own_license for k in range(len(rows))] == want
+
+
 def test_every_template_finds_itself(spark):
     got = scan(spark, [(k, f"f{k}", text, 0) for k, (_, text) in enumerate(licenses.TEMPLATES)])
     assert all(got[k].own_license == name for k, (name, _) in enumerate(licenses.TEMPLATES))

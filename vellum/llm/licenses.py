@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosines of licence passages to templates, then inheritance by directory.
 
 A passage is a line of a text that has one of the cue words (all templates have one, so that no
-line near a template is passed over). Passages become term counts; weights are counts times the
+line near a template is passed over), or a run of terms as long as a template, wherever it begins and
+whatever lines and comment marks it goes over. Passages become term counts; weights are counts times the
 inverse frequency over the templates, and the cosine with each template is a join on terms and two
 sums. A file's own licence is that of its best passage. A directory's licence is that of the best
 licence file in it; a file without a licence of its own inherits from the nearest directory above
@@ -18,13 +19,15 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored
 from .license_templates import TEMPLATES
 
 CUES = ("licen[cs]e", "licensed", "copyright", "reserved", "redistribut", "free software", "permission")
 CUE = "(?i)(" + "|".join(CUES) + ")"
+#: The terms that make a place a cue; each template has one.
+CUE_TERM = "licen[cs]e|copyright|reserved|redistribut|permission"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.75
 #: Names of files that speak for their directory.
@@ -74,9 +77,36 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     norms = weighted.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighted.join(vectors, "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scores = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    scores = scores.unionByName(_run_scores(files.where(F.col("text").rlike(CUE)), weights, vectors, unknown, least))
     return scores.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("best")).select("path", "best.license", (-F.col("best.worse")).alias("score"))
 
 
+def _run_scores(files: DataFrame, weights: DataFrame, vectors: DataFrame, unknown: float, least: float) -> DataFrame:
+    """(path, license, score): runs of as many terms as a template has, near a cue word, that come up to ``least``.
+
+    A run's dot is a sum over its places, and its norm is at least the root of the sum of the squared
+    weights of its places that the template has too; runs that reach ``least`` by that bound are scored
+    exactly. A run begins at a term of its template.
+    """
+    lengths = [(k, len(terms(text))) for k, (_, text) in enumerate(TEMPLATES)]
+    longest = max(n for _, n in lengths)
+    length = F.broadcast(files.sparkSession.createDataFrame(lengths, "template int, length int"))  # fixed size
+    found = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
+    texts = files.groupBy("path", "text").agg(F.lit(1).alias("one")).select("path", F.xxhash64("text").alias("of"), found.alias("terms"))
+    near = F.expr(f"transform(filter(sequence(1, size(terms)), k -> terms[k - 1] rlike '{CUE_TERM}'), k -> sequence(greatest(k - {longest - 1}, 1), least(k + {longest - 1}, size(terms))))")
+    places = texts.where("size(terms) > 0").select("path", "of", F.explode(F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(k.alias("pos"), F.get("terms", k - 1).alias("term")))).alias("p")).select("path", "of", "p.pos", "p.term")
+    places = stored(places.join(weights, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(unknown))), "licence-places")  # around cue words only; used twice
+    hits = places.join(vectors, "term").join(length, "template")
+    run = Window.partitionBy("path", "of", "template").orderBy(F.expr("pos * 1000000L div length")).rangeBetween(0, 1_000_000 - 500_000 // longest)  # ``length`` places
+    bound = hits.withColumn("dot", F.sum(F.col("idf") * F.col("w")).over(run)).withColumn("square", F.sum(F.col("idf") * F.col("idf")).over(run))
+    starts = bound.where(F.col("dot") >= (least - 1e-6) * F.sqrt("square")).select("path", "of", "template", "license", F.col("pos").alias("start"), "length")
+    inside = starts.join(places, ["path", "of"]).where("pos >= start and pos < start + length")
+    counted = inside.groupBy("path", "of", "template", "license", "start", "term", "idf").agg(F.count("*").alias("n")).join(vectors.select("template", "term", "w"), ["template", "term"], "left")
+    x = F.col("n") * F.col("idf")
+    scored = counted.groupBy("path", "of", "template", "license", "start").agg((F.sum(x * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(x * x))).alias("cosine"))
+    return scored.select("path", "license", F.round("cosine", 6).alias("score")).where(F.col("score") >= least)
+
+
 def _directory(path: str) -> F.Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
