@@ -190,6 +190,18 @@ def test_folds_hold_no_client_whole(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_short_and_otherwise_parted_needles_are_found(spark):
+    from vellum.operators import matching
+
+    texts = ["a foobar of many words that are written in a row, and then some more of them", "foo", "x", "", None, "  the quick brown fox jumps over the lazy dog and runs  "]
+    needles = ["foo bar", "o", "of many words thatare written in a row, and then", "the  quick brown", "quick brownfox jumps over the lazy dog and runs", "", None, "foo", "fooo"]
+    flat = lambda t: "".join(t.split())
+    want = {(i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n is not None and t is not None and flat(n) in flat(t)}
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = matching.contained_pairs(frame(needles), frame(texts)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def rule(scope="some", categories=(), agencies=(), keywords=(), audiences=()):
     arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     return F.lit(scope), arr(categories), arr(agencies), arr(keywords), arr(audiences)
