@@ -1,15 +1,19 @@
 """Toxicity scores by weak supervision.
 
 Lexicon voters are the words and word beginnings, found once or several times, that labelled
-training rows tie most strongly to the label; pattern voters look at how many of them a text has, how densely, at shouting, and at
-their absence. A generative label model turns the votes into posterior labels, and a linear
-classifier is trained on these. Every text is then scored by the classifier alone, whole.
+training rows tie significantly to label 1 and that are right more often than not there; pattern
+voters look at how many of them a text has, how densely, at shouting, and at their absence. A
+generative label model turns the votes into posterior labels, and a linear classifier is trained on
+these. Every text is then scored by the classifier alone, whole.
 
 Fitting uses at most ``MAX_LABELLED`` labelled rows (those with the least hash of ``doc_id``) that
-are not held out; scoring covers every row. Defined results: null and empty texts get the score of
-a text without any known word; null ids are not held out; rows that repeat an id are scored alike;
-labels that are null or neither 0 nor 1 are left out, a document labelled both ways counts as
-toxic; without training rows of both kinds every score is 0; an empty table gives no rows.
+are not held out, one text per id, equal texts once; scoring covers every row. The model's size is
+bounded too: ``MAX_TOKENS`` features, those with the most evidence, ``MAX_VOTERS`` of them voters.
+Neither bound depends on the table's size. Defined results: null and empty texts get the score of
+a text without any known word; null ids are not held out; rows that repeat an id are scored each by
+its own text, and the text with the least hash trains; labels that are null or neither 0 nor 1 are
+left out, a document or text labelled both ways counts as toxic; without training rows of both
+kinds every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ MAX_LABELLED = 20_000
 FOLDS = 5
 #: Known words and beginnings, those of them that vote, and the least evidence (G squared) for either.
 MAX_TOKENS, MAX_VOTERS, LEAST_EVIDENCE = 4096, 96, 12.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: A token is a word or beginning found at least so often in a text; it is written "text|times".
-TIMES = (1, 2, 4)
+TIMES = (1, 2, 3)
 #: Words and tokens that a Python worker remembers at once.
 MAX_CACHED = 150_000
 PENALTY, DESCENTS = 0.2, 400
@@ -50,12 +54,17 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of the labelled rows to fit on."""
+    """(text, toxic) of the labelled rows to fit on, one text per id, each distinct text once.
+
+    Copies are no evidence of their own: a token's counts are of distinct texts.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "id").select("text", "toxic")  # known: at most max_labelled rows
+    found = texts.join(F.broadcast(known), "id")  # known: at most max_labelled rows
+    found = found.groupBy("id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    return found.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def _token_counts(it):
@@ -88,15 +97,17 @@ def _evidence(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarra
 
 
 def _distinct(tokens: list[str]) -> list[str]:
-    """Drops a token where a better one (they come best first) has a beginning or end of it."""
+    """Drops a token where a better one (they come best first) is a beginning of it or begins with it."""
     kept: list[str] = []
-    seen: set[str] = set()
+    stems: set[str] = set()
+    begun: set[str] = set()
     for token in tokens:
         stem = token.rsplit("|", 1)[0]
-        ways = {stem[:n] for n in (*PREFIXES, len(stem) - 1)} | {stem}
-        if not seen & ways:
+        starts = {stem[:n] for n in range(1, len(stem) + 1)}
+        if not starts & stems and stem not in begun:
             kept.append(token)
-            seen |= ways
+            stems.add(stem)
+            begun |= starts
     return kept
 
 
@@ -180,19 +191,20 @@ class ToxicityModel:
         g = 2 * (cell(F.col("n0"), expected[0]) + cell(F.col("n1"), expected[1]) + cell(all0 - F.col("n0"), all0 - expected[0]) + cell(all1 - F.col("n1"), all1 - expected[1]))
         best = counts.withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), F.desc(F.length("token")), "token").limit(MAX_TOKENS).collect()
         speaks = _evidence(np.array([r.n0 for r in best]), np.array([r.n1 for r in best]), all0, all1) if best else np.empty(0)
-        lexicon = _distinct([r.token for r, s in zip(best, speaks) if s > 0])
-        tokens = lexicon + _distinct([r.token for r, s in zip(best, speaks) if s <= 0])
+        precise = [s > 0 and r.n1 >= r.n0 for r, s in zip(best, speaks)]
+        lexicon = _distinct([r.token for r, own in zip(best, precise) if own])
+        tokens = lexicon + _distinct([r.token for r, own in zip(best, precise) if not own])
 
         voters = Voters(tokens, min(len(lexicon), MAX_VOTERS))
 
         def look_up(it):
             for batch in batches(it):
                 found = [voters.hits(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"hits": pa.array([f[0] for f in found], pa.list_(pa.int64())), "n": pa.array([f[1] for f in found], pa.int64()), "shouts": pa.array([f[2] for f in found], pa.bool_())})
+                yield pa.RecordBatch.from_pydict({"hits": pa.array([f[0] for f in found], pa.list_(pa.int64())), "n": pa.array([f[1] for f in found], pa.int64()), "shouts": pa.array([f[2] for f in found], pa.bool_()), "toxic": batch.column("toxic")})
 
-        seen = rows.mapInArrow(look_up, "hits array<long>, n long, shouts boolean").toPandas()  # at most max_labelled rows of known tokens
-        votes = np.array([voters.votes(list(h), int(n), bool(s)) for h, n, s in seen.itertuples(index=False)], np.int8)
-        target, _, _ = posteriors(votes, all1 / n)
+        seen = rows.mapInArrow(look_up, "hits array<long>, n long, shouts boolean, toxic int").toPandas()  # at most max_labelled rows of known tokens
+        votes = np.array([voters.votes(list(h), int(n), bool(s)) for h, n, s, _ in seen.itertuples(index=False)], np.int8)
+        target, _, _ = posteriors(votes, all1 / n, seen["toxic"].to_numpy())
         row = np.repeat(np.arange(len(seen)), seen["hits"].str.len())
         col = np.concatenate([np.asarray(h, np.int64) for h in seen["hits"]]) if len(row) else np.empty(0, np.int64)
         weights, bias = _descend(row, col, len(seen), len(tokens), np.clip(target, 1e-4, 1 - 1e-4))
