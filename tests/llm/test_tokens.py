@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -53,6 +54,41 @@ def test_files_hold_equal_sequences_and_masks(spark, docs):
         assert real == f["n_ids"]
 
 
+def test_ids_and_masks_are_views_of_the_mapped_file(tmp_path):
+    path = str(tmp_path / "ids.arrows")
+    with open(path, "wb") as sink:
+        writer = token_stream.SequenceWriter(sink, np.uint16, seq_len=64, seqs_per_batch=4)
+        for k in range(40):
+            writer.append(np.arange(k * 31, dtype=np.uint16))
+        writer.close()
+    mapped = pa.memory_map(path)
+    whole = mapped.read_buffer(mapped.size())
+    held = pa.total_allocated_bytes()
+    sequences = token_stream.SequenceFile.open("file://" + path)
+    want = np.concatenate([np.arange(k * 31, dtype=np.uint16) for k in range(40)])
+    got = []
+    for k in range(len(sequences)):
+        ids, mask = sequences.views(k)
+        assert len(ids) == len(mask) == 64 and pa.total_allocated_bytes() == held  # nothing was copied to Arrow's memory
+        got.append(ids.to_numpy()[mask.to_numpy(zero_copy_only=False)])
+    assert np.array_equal(np.concatenate(got), want) and len(sequences) == -(-len(want) // 64) and whole.size == mapped.size()
+
+
+def test_word_cache_keeps_words_met_often():
+    encoder = WordEncoder(vocabulary(), max_words=40)
+    for k in range(8):
+        texts = [" ".join(f"often{j} Often{j}, rare{k}x{j}" for j in range(12))]
+        ids, _ = encoder.encode(texts)
+        assert ids.tolist() == plain_ids(texts)[0]
+    assert "often3" in encoder.number and "rare0x3" not in encoder.number
+
+
+def test_marks_around_words_and_added_tokens():
+    texts = ["(foo) [bar]! baz?'s qux's \"x\" a_b _c_ d*** e%%%. f'' 'g", "<|endoftext|> a<b >c< |d| e|f <g> h<|startoftext|>", "\x1ca b\x1f \u2003c\u2003d é! (Ñ) ªº"]
+    ids, counts = WordEncoder(vocabulary()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == plain_ids(texts)
+
+
 def test_empty_table(no_docs):
     assert token_stream.token_stream(no_docs).count() == 0
     assert packing.pack_documents(no_docs).count() == 0

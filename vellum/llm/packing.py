@@ -138,7 +138,7 @@ def pack_documents(docs: DataFrame, vocab: str | None = None, tiers=TIERS, step_
         doc_ids, ids, counts, held = [], [], [], 0
         for batch in batches(it):
             encoder = encoder or word_encoder(vocab, end_id)
-            x, n = encoder.encode(batch.column("text").to_pylist())
+            x, n = encoder.encode(batch.column("text"))
             doc_ids += batch.column("doc_id").to_pylist()
             ids.append(x)
             counts.append(n)

@@ -46,7 +46,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype, seq_len: int = SEQ_LEN, seqs_per_batch: int = SEQS_PER_BATCH):
         self.schema, self.seq_len = _schema(dtype, seq_len), seq_len
         self.full = seq_len * seqs_per_batch
-        self.rest = np.empty(0, dtype)
+        self.parts, self.n = [np.empty(0, dtype)], 0
         self.writer = pa.ipc.new_stream(sink, self.schema)
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
@@ -62,15 +62,19 @@ class SequenceWriter:
         )
 
     def append(self, ids: np.ndarray) -> None:
-        ids = np.concatenate([self.rest, ids])
-        whole = len(ids) - len(ids) % self.full
+        self.parts.append(ids)
+        self.n += len(ids)
+        if self.n < self.full:
+            return
+        ids = np.concatenate(self.parts)
+        whole = self.n - self.n % self.full
         for k in range(0, whole, self.full):
             self._batch(ids[k : k + self.full], self.full)
-        self.rest = ids[whole:]
+        self.parts, self.n = [ids[whole:].copy()], self.n - whole
 
     def close(self) -> None:
-        if n := len(self.rest):
-            self._batch(np.pad(self.rest, (0, -n % self.seq_len)), n)
+        if self.n:
+            self._batch(np.pad(np.concatenate(self.parts), (0, -self.n % self.seq_len)), self.n)
         self.writer.close()
 
 
@@ -87,10 +91,14 @@ class SequenceFile:
     def __len__(self) -> int:
         return self.table.num_rows
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k-th sequence's ids, as a view of the file, and its mask."""
+    def views(self, k: int) -> tuple[pa.Array, pa.BooleanArray]:
+        """The k-th sequence's ids and mask as Arrow arrays, both views of the file (a mask takes one bit an id there)."""
         row = self.table.slice(k, 1)
-        ids, mask = (row.column(c).chunk(0).flatten() for c in ("ids", "mask"))
+        return tuple(row.column(c).chunk(0).flatten() for c in ("ids", "mask"))
+
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k-th sequence's ids, as a view of the file, and its mask, spread to a byte an id."""
+        ids, mask = self.views(k)
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
@@ -122,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
                 ids_sink, docs_sink = store.open_output_stream(f"{own}.arrows"), store.open_output_stream(f"{own}.docs.arrows")
                 sequences, index = SequenceWriter(ids_sink, encoder.dtype, seq_len), pa.ipc.new_stream(docs_sink, _DOCS)
                 at = n_docs = 0
-            ids, counts = encoder.encode(batch.column("text").to_pylist())
+            ids, counts = encoder.encode(batch.column("text"))
             sequences.append(ids)
             starts = at + np.cumsum(counts) - counts
             index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(starts), pa.array(counts)], schema=_DOCS))
