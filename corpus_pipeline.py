@@ -1,7 +1,11 @@
 """The document pipeline: quality rules, toxicity, near-duplicates, packing.
 
 Every stage takes the documents that its predecessor kept, all of them, and all but the last return
-documents with the columns they came with.
+documents with the columns they came with, clashing or extra ones too. Null texts count as empty
+ones: the quality rules reject them. Rows are judged one by one, so repeated rows share a fate up to
+the near-duplicate stage, where one row of each group stays (the least id, then the least hash of
+its columns); an id repeated with texts that nothing links keeps a row for each. Rows with a null id
+are never duplicates of others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_each(docs)
+    return simhash.keep_one_each(docs, id_is_document=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,18 @@ def test_stages(spark, small):
         assert stage(spark, docs, small).columns == docs.columns
         assert stage(spark, docs.limit(0), small).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, docs, small):
+    """Rows of the fixture hold nulls in every column, repeated rows and ids, a very long text and names that stages use themselves."""
+    long = "".join(f"{w} " for k in range(40) for w in (f"plain{k}", f"prose{k * 7 % 40}", f"goes{k}", f"on{k * 3 % 40}."))
+    more = spark.createDataFrame([(100 + k, long + f"end{k}" * (k > 1), "en", "s1", 0, "clash", k, 0.5) for k in range(4)] + [(100, long, "en", "s1", 0, "clash", 0, 0.5), (101, "Another " + long.replace("prose", "verse"), None, None, None, None, None, None)], docs.schema)
+    rows = docs.unionByName(more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, small)
+        assert out.columns == rows.columns and out.count() <= rows.count()
+    kept = corpus_pipeline.near_dedup(spark, more, small).collect()
+    assert sorted(r.doc_id for r in kept if r.text == long) == [100]  # equal rows and copies: one stays
+    assert any(r.doc_id == 101 and r.text.startswith("Another") for r in kept)  # a known id's other text stays
+    packed = corpus_pipeline.pack(spark, rows, small)
+    assert packed.where("start = 0").count() == rows.count()

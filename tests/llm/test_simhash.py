@@ -85,3 +85,14 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted({c for c in of.values() if c is not None})
     assert ids.count(None) == 2
     assert simhash.keep_one_each(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = "one text of some words here", "quite another text with its own words there", "a third one that nobody else has"
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, c, "p"), (3, c, "p"), (4, c, "q"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fp = {t: f"{simhash.fingerprint(t):016x}" for t in (a, b, c)}
+    assert found == {(1, fp[a]): 1, (1, fp[b]): 1, (2, fp[b]): 1, (3, fp[c]): 3, (4, fp[c]): 3, (None, fp[a]): None}
+    kept = sorted((r.doc_id or 0, r.text, r.kept) for r in simhash.keep_one_each(docs, id_is_document=False).collect())
+    assert kept == sorted([(1, a, "x"), (1, b, "y"), (3, c, "p"), (0, a, "n")])

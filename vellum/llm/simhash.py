@@ -10,7 +10,7 @@ bytes of the other segment, one of which must agree. Links become components by
 
 Defined results: no words (null, empty, blank text) give fingerprint zero, linked like any other; a
 null id gets its fingerprint, links nothing and has a null component; repeated rows give repeated
-results; an empty table gives no rows; other input columns are not read.
+results; an id repeated with other texts gives each its own component, named by the least id of it; an empty table gives no rows; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -45,17 +45,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *also: str) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long, and long columns that go along."""
 
     small_batches(docs.sparkSession)
 
     def run(it):
         for batch in batches(it):
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *(batch.column(c) for c in also)], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -156,25 +156,47 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, split_over: int = SPLIT
     return dealt.mapInArrow(_link(max_bits), "u long, v long")
 
 
+def _components(every: DataFrame, max_bits: int, split_over: int) -> DataFrame:
+    """(fp, root, component) of every fingerprint of ``every`` (doc_id, fp).
+
+    Fingerprints are the nodes, so an id that is repeated with other texts links nothing; a component
+    is named by the least id that any of its fingerprints belongs to.
+    """
+    fps = stored(every.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    roots = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")), max_bits, split_over))
+    linked = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    linked = linked.join(least, "root").select("fp", "root", "component")
+    return fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "rep").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     every = stored(fingerprints(docs, shingle), "fingerprints")
-    fps = stored(every.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = connected_components(near_links(fps, max_bits, split_over))
-    of_fp = fps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return every.join(of_fp, "fp", "left").select(
+    return every.join(_components(every, max_bits, split_over), "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
 
 
-def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id, and all rows with a null id.
+def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER, id_is_document: bool = True) -> DataFrame:
+    """``docs`` with one row of each component, and all rows with a null id.
 
-    Only ids are joined; texts stay where they are unless the kept ids are too many to send around.
+    The row that stays is the one with the least id, then the least hash of its columns; of wholly
+    equal rows one stays. Components of one id, repeated with texts that nothing links, are one
+    where an id is a document; with ``id_is_document`` false each keeps a row of its own. Rows are chosen by ids and hashes alone; texts are joined to the
+    choice once, and stay where they are unless the choice is too large to send around.
     """
-    kept = near_duplicates(docs, shingle, max_bits, split_over).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    one = rows.where("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id"])
-    return one.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("h"))
+    texts = rows.where("id is not null").select(F.col("id").alias("doc_id"), "h", F.col("row.text").cast("string").alias("text"))
+    every = stored(fingerprints(texts, shingle, "h"), "fingerprints")
+    of = every.join(_components(every, max_bits, split_over), "fp")
+    chosen = of.groupBy("component" if id_is_document else "root").agg(F.min(F.struct("doc_id", "h")).alias("kept"))
+    chosen = chosen.select(F.col("kept.doc_id").alias("id"), F.col("kept.h").alias("h"))
+    times = every.groupBy(F.col("doc_id").alias("id"), "h").count()
+    chosen = stored(chosen.join(times, ["id", "h"]), "kept-rows")
+    single = rows.join(chosen.where("count = 1"), ["id", "h"], "left_semi")
+    equal = rows.join(chosen.where("count > 1"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return single.unionByName(equal).unionByName(rows.where("id is null")).select("row.*")
