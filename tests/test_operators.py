@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.functions import classify, dates, files as kinds, summaries, text, urls
+from vellum.functions import classify, dates, files as kinds, rulebook, summaries, text, urls
 from vellum.operators import diff, filters, merge, search
 from vellum.sources import files, html
 from vellum.streaming import jobs
@@ -303,3 +303,46 @@ def test_normalizers_and_notes(spark):
     assert rules.int_setting({"a": " "}, "a", 5, 1, 9) == 5 and rules.int_setting({"a": "7"}, "a", 5, 1, 9) == 7
     with pytest.raises(ValueError):
         rules.int_setting({"a": "x"}, "a", 5, 1, 9)
+
+
+def test_search_index_is_kept_up_to_date(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "公开征求意见的通知"), (2, "意外征见"), (3, "red apple pie"), (4, "apples are red")], "id long, text string")
+    index = search.SearchIndex(spark, str(tmp_path / "index"))
+    assert index.search("apple")[1].count() == 0
+    index.index(docs)
+    ids = lambda q: sorted(r.id for r in search.matched(index.postings(), q).collect())
+    assert (ids("意见"), ids("征求 意见"), ids("app apple"), ids("RED app"), ids("意见 apple"), ids("!?")) == ([1], [1], [3, 4], [3, 4], [], [])
+    index.index(spark.createDataFrame([(3, "green pear"), (5, "apple")], "id long, text string"))
+    assert ids("apple") == [4, 5] and ids("pear") == [3]
+    index.remove(spark.createDataFrame([(1,), (4,), (99,)], "id long"))
+    assert ids("意见") == [] and ids("apple") == [5]
+    total, hits = index.search("apple", page=1, per_page=1)
+    assert total.first().total == 1 and [r.id for r in hits.collect()] == [5]
+    spark.createDataFrame([(5, "no more", False), (2, None, True), (6, "late apple", False)], "id long, text string, gone boolean").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, text string, gone boolean").parquet(str(tmp_path / "in"))
+    run = index.sync(stream, str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert ids("apple") == [6] and ids("意外") == [] and ids("more") == [5]
+    index.rebuild(docs)
+    assert ids("apple") == [3, 4] and ids("more") == []
+
+
+def test_repeated_incoming_keys_give_one_row(spark):
+    stored = spark.createDataFrame([(1, "a")], "id long, v string")
+    incoming = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "d")], "id long, v string")
+    got = sorted((r.id, r.v, r.outcome) for r in merge.upserted(stored, incoming, "id", (), latest=(F.desc("v"),)).collect())
+    assert got == [(1, "c", "updated"), (2, "d", "inserted")]
+
+
+def test_full_rule_tables(spark):
+    body = F.lit("数据安全\n联系人：卫生 司\n正文")
+    r = one(
+        spark,
+        rulebook.domain_tags(F.lit("电商"), body, dropped_lines="联系人：.*"),
+        rulebook.domain_tags(F.lit("环境卫生"), F.lit(None).cast("string"), not_counted={"卫生": "环境卫生"}),
+        rulebook.audience_decision(F.lit("t"), F.lit("s"), overrides={"95": "public"}, key=F.lit("954d")),
+        rulebook.genre_decision(F.lit("公路条例"), F.array(F.lit("修订对照表")), F.lit(None).cast("string")),
+        rulebook.genre_decision(F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit("第二条修改为")),
+    )
+    assert list(r[0]) == ["数据与网络安全"] and list(r[1]) == []
+    assert tuple(r[2]) == ("public", "override") and tuple(r[3]) == ("amendment", "attachment_names", "修订对照表") and tuple(r[4]) == ("amendment", "attachment_text", "修改为")

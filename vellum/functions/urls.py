@@ -76,3 +76,22 @@ def alternate_hosts(a: Column, b: Column) -> Column:
     """Whether two hosts share their last three labels."""
     last = lambda x: F.slice(F.reverse(F.split(host(x), r"\.")), 1, 3)
     return (F.size(last(a)) == 3) & (last(a) == last(b)) & (host(a) != host(b))
+
+
+def _common_labels(a: Column, b: Column) -> Column:
+    """How many labels two hosts share at their ends."""
+    same = F.zip_with(F.reverse(F.split(a, r"\.")), F.reverse(F.split(b, r"\.")), lambda x, y: x == y)
+    differs = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
+    return F.when(differs == 0, F.size(same)).otherwise(differs - 1)
+
+
+def candidates(file: Column, page: Column, least: int = 3) -> Column:
+    """Addresses to try for a file of a page, in order: its own, then its path on the page's host.
+
+    The second comes only if the two origins differ and their hosts share at least ``least`` labels.
+    """
+    origin = lambda x: F.regexp_extract(x, r"^(?i)(https?://[^/?#]+)", 1)
+    path = F.concat(F.coalesce(url_part(file, "PATH"), F.lit("")), F.coalesce(F.concat(F.lit("?"), url_part(file, "QUERY")), F.lit("")))
+    other = F.concat(origin(page), path)
+    apart = (F.lower(origin(file)) != F.lower(origin(page))) & (_common_labels(host(file), host(page)) >= least) & (other != file)
+    return F.when(F.coalesce(apart, F.lit(False)), F.array(file, other)).otherwise(F.array(file))

@@ -17,17 +17,19 @@ def wins(new_basis: Column, old_basis: Column) -> Column:
 
 
 def latest_per_key(incoming: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The last row of each key; a batch may bring a key more than once."""
+    """The first row of each key in the order given; a batch may bring a key more than once."""
     w = Window.partitionBy(key).orderBy(*order)
     return incoming.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str, ...], filled: tuple[str, ...] = ()) -> DataFrame:
+def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str, ...], filled: tuple[str, ...] = (), latest: tuple[Column, ...] = ()) -> DataFrame:
     """The snapshot after ``incoming``, with an ``outcome`` per row.
 
     ``kept`` columns of stored rows never change; ``filled`` ones change only to something that is
-    not null; all others take the incoming value. Keys are one row each on both sides.
+    not null; all others take the incoming value. Stored keys are one row each; of incoming rows with one key the
+    first in the order ``latest`` counts (without it, the first by a hash of the row).
     """
+    incoming = latest_per_key(incoming, key, *(latest or (F.xxhash64(*incoming.columns),)))
     s, i = stored.alias("s"), incoming.alias("i")
     was, comes = F.col(f"s.{key}").isNotNull(), F.col(f"i.{key}").isNotNull()
     columns = []
@@ -123,3 +125,52 @@ def guarded_delete(parents: DataFrame, doomed: Column, children: DataFrame, key:
     """(what stays, a backup of what goes): doomed parents go only if no child names them."""
     goes = parents.where(doomed).join(children, key, "left_anti")
     return parents.join(goes.select(key), key, "left_anti"), goes
+
+
+def registered(sources: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """Sources with those of ``incoming`` that they lack, switched on."""
+    return appended(sources, incoming.withColumn("enabled", F.lit(True)), [key])
+
+
+def switched(rows: DataFrame, ids: DataFrame, flag: str, value: bool, key: str = "id") -> DataFrame:
+    """``rows`` with ``flag`` set to ``value`` where ``ids`` names them; all else as it was."""
+    named = ids.select(F.col(key).alias("_named")).distinct()
+    return rows.join(named, F.col(key) == F.col("_named"), "left").withColumn(flag, F.when(F.col("_named").isNotNull(), F.lit(value)).otherwise(F.col(flag))).drop("_named")
+
+
+def reclassified(notices: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, genre, grounds, outcome) after attachments came in.
+
+    ``notices`` has id, title, genre and grounds, ``files`` notice_id, name and text; a genre changes
+    only on grounds at least as strong as before.
+    """
+    from ..functions.rulebook import genre_decision, grounds_rank
+
+    per = files.groupBy("notice_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("texts"))
+    found = notices.join(per, F.col("id") == F.col("notice_id"), "left").withColumn("d", genre_decision(F.col("title"), F.coalesce("names", F.array().cast("array<string>")), F.col("texts")))
+    better = F.col("grounds").isNull() | (grounds_rank(F.col("d.grounds")) >= grounds_rank(F.col("grounds")))
+    same = F.col("genre").eqNullSafe(F.col("d.genre"))
+    return found.select("id", F.when(better, F.col("d.genre")).otherwise(F.col("genre")).alias("genre"), F.when(better, F.col("d.grounds")).otherwise(F.col("grounds")).alias("grounds"), F.when(~better, "kept").when(same, "same").otherwise("changed").alias("outcome"))
+
+
+def backup_check(live: dict[str, DataFrame], restored: dict[str, DataFrame], measures: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(measure, live, restored, ok): aggregates of tables (measure -> table, column) on both sides."""
+    out = None
+    for name, (table, measure) in measures.items():
+        sides = [side[table].agg(measure.cast("long").alias(x)) for side, x in ((live, "live"), (restored, "restored"))]
+        row = sides[0].join(sides[1]).select(F.lit(name).alias("measure"), "live", "restored", F.col("live").eqNullSafe(F.col("restored")).alias("ok"))  # a row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def entries_by_hand(entries: DataFrame) -> DataFrame:
+    """Entries (title, url, published, deadline) as notices with an id, normalized days and, where they can't stand, the problem."""
+    from ..functions.dates import date_in
+    from ..functions.text import collapsed
+    from ..functions.urls import notice_id
+
+    title, url = collapsed(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("url", F.lit("")))
+    days = {c: date_in(F.col(c)) for c in ("published", "deadline")}
+    unread = [(F.trim(F.coalesce(c, F.lit(""))) != "") & d.isNull() for c, d in days.items()]
+    problem = F.when(title == "", "title").when(~url.rlike("(?i)^https?://[^/]"), "url").when(unread[0], "published").when(unread[1], "deadline").when(days["deadline"] < days["published"], "order")
+    return entries.select(notice_id(url).alias("id"), title.alias("title"), url.alias("url"), *[d.alias(c) for c, d in days.items()], problem.alias("problem"))

@@ -1,4 +1,9 @@
-"""Full-text search over an inverted index of documents."""
+"""Full-text search over an inverted index of documents.
+
+Terms are runs of letters and digits; each character of the Chinese script is a term of its own, so
+that a run of them is found as a phrase wherever it stands. A query is cut alike: a run of such
+characters must be found as a phrase, any other run as the beginning of a term, and all of them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,16 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 K1, B = 1.2, 0.75
-TERM = r"[\p{L}\p{N}]+"
+#: Characters that are terms of their own, and other runs of letters and digits.
+HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+TERM = rf"[{HAN}]|[\p{{L}}\p{{N}}&&[^{HAN}]]+"
+_PIECE = re.compile(rf"[{HAN}]+|[^\W_{HAN}]+")
+MOST_PIECES = 10
+#: Parts that an index on files is kept in; a write replaces the parts of its documents.
+PARTS = 64
 
 
 def tokens(column) -> F.Column:
@@ -17,29 +28,126 @@ def tokens(column) -> F.Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, doc_len): the inverted index."""
+    """(id, term, tf, doc_len, places): the inverted index."""
     terms = docs.select("id", tokens("text").alias("terms")).withColumn("doc_len", F.size("terms"))
-    return terms.select("id", "doc_len", F.explode("terms").alias("term")).groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    placed = terms.select("id", "doc_len", F.posexplode("terms").alias("place", "term"))
+    return placed.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"), F.collect_list("place").alias("places"))
 
 
 def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))[:10]
+    return list(dict.fromkeys(_PIECE.findall(query.lower())))[:MOST_PIECES]
+
+
+def _is_phrase(piece: str) -> bool:
+    return re.match(f"[{HAN}]", piece) is not None
+
 
+def statistics(index: DataFrame) -> DataFrame:
+    """One row: the number of documents with a term (n) and their mean length (mean)."""
+    return index.groupBy("id").agg(F.first("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean"))
 
-def search(index: DataFrame, n_docs: int, mean_length: float, query: str, page: int = 1, per_page: int = 20) -> DataFrame:
-    """(id, score) of documents with all terms (the last character run of each as a beginning), best first."""
+
+def _matches(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """(id, doc_len, piece, tf) of documents and the pieces of the query that they hold."""
+    terms = [(k, n, term, _is_phrase(piece)) for k, piece in enumerate(wanted) for n, term in enumerate(piece if _is_phrase(piece) else [piece])]
+    fits = [(F.col("term") == term) if whole else F.startswith("term", F.lit(term)) for _, _, term, whole in terms]
+    # a term may serve several pieces, and several places of one phrase
+    served = F.array_compact(F.array(*[F.when(fit, F.struct(F.lit(k).alias("piece"), F.lit(n).alias("n"))) for fit, (k, n, _, _) in zip(fits, terms)]))
+    hits = index.where(reduce(or_, fits)).select("id", "doc_len", "tf", "places", F.explode(served).alias("s")).select("id", "doc_len", "tf", "places", "s.piece", "s.n")
+    longer = [k for k, piece in enumerate(wanted) if _is_phrase(piece) and len(piece) > 1]
+    single = hits.where(~F.col("piece").isin(longer)) if longer else hits
+    found = single.groupBy("id", "doc_len", "piece").agg(F.sum("tf").alias("tf"))
+    if longer:
+        size = reduce(lambda w, k: w.when(F.col("piece") == k, len(wanted[k])), longer[1:], F.when(F.col("piece") == longer[0], len(wanted[longer[0]])))
+        begun = hits.where(F.col("piece").isin(longer)).select("id", "doc_len", "piece", F.explode(F.transform("places", lambda p: p - F.col("n"))).alias("start"))
+        whole = begun.groupBy("id", "doc_len", "piece", "start").agg(F.count("*").alias("n")).where(F.col("n") == size)
+        found = found.unionByName(whole.groupBy("id", "doc_len", "piece").agg(F.count("*").alias("tf")))
+    return found
+
+
+def matched(index: DataFrame, query: str) -> DataFrame:
+    """(id) of the documents that hold every piece of the query."""
+    wanted = query_terms(query)
+    if not wanted:
+        return index.select("id").limit(0)
+    return _matches(index, wanted).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+
+
+def search(index: DataFrame, n_docs: int | Column, mean_length: float | Column, query: str, page: int = 1, per_page: int = 20) -> DataFrame:
+    """(id, score) of documents with all pieces of the query, best first."""
     wanted = query_terms(query)
     if not wanted:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    which = reduce(lambda w, t: w.when(F.startswith("term", F.lit(t)), t), wanted[1:], F.when(F.startswith("term", F.lit(wanted[0])), wanted[0]))
-    hits = index.where(reduce(or_, [F.startswith("term", F.lit(t)) for t in wanted])).withColumn("wanted", which)
-    per = hits.groupBy("id", "doc_len", "wanted").agg(F.sum("tf").alias("tf"))
-    df = per.groupBy("wanted").agg(F.count("*").alias("df"))  # a row per term of the query
-    scored = per.join(F.broadcast(df), "wanted")
+    per = _matches(index, wanted)
+    df = per.groupBy("piece").agg(F.count("*").alias("df"))  # a row per piece of the query
+    scored = per.join(F.broadcast(df), "piece")
+    return _ranked(scored, n_docs, mean_length, len(wanted)).offset((page - 1) * per_page).limit(per_page)
+
+
+def _ranked(scored: DataFrame, n_docs, mean_length, n_pieces: int) -> DataFrame:
     idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean_length))
-    total = scored.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum(part), 6).alias("score")).where(F.col("n_terms") == len(wanted))
-    return total.select("id", "score").orderBy(F.desc("score"), "id").offset((page - 1) * per_page).limit(per_page)
+    total = scored.groupBy("id").agg(F.count("*").alias("n_pieces"), F.round(F.sum(part), 6).alias("score")).where(F.col("n_pieces") == n_pieces)
+    return total.select("id", "score").orderBy(F.desc("score"), "id")
+
+
+class SearchIndex:
+    """An index kept on files of a shared folder, in parts by a hash of the id.
+
+    Writing and removing replace the parts of the documents concerned, so both may be run again
+    after a failure; a full rebuild replaces all parts. One writer at a time.
+    """
+
+    SCHEMA = "id {id}, doc_len int, term string, tf long, places array<int>, part int"
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "long"):
+        self.spark, self.folder, self.schema = spark, folder, self.SCHEMA.format(id=id_type)
+        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("part").parquet(folder)
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        """All rows; a row without an id and a term keeps an emptied part in place."""
+        return self.spark.read.schema(self.schema).parquet(self.folder)
+
+    def _replace(self, ids: DataFrame, rows: DataFrame) -> None:
+        parts = ids.select(self._part().alias("part")).distinct()  # at most PARTS
+        kept = self._rows().join(F.broadcast(parts), "part", "left_semi").where("id is not null").join(ids, "id", "left_anti")
+        marks = parts.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "part" else F.col("part") for f in kept.schema])
+        new = rows.withColumn("part", self._part()).select(*kept.columns)
+        whole = kept.unionByName(new).unionByName(marks.select(*kept.columns))
+        whole.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.folder)
+
+    def index(self, docs: DataFrame) -> None:
+        """Puts documents (id, text) in, instead of what their ids had before."""
+        self._replace(docs.select("id").distinct(), postings(docs))
+
+    def remove(self, ids: DataFrame) -> None:
+        self._replace(ids.select("id").distinct(), self.spark.createDataFrame([], self.schema).drop("part"))
+
+    def rebuild(self, docs: DataFrame) -> None:
+        rows = postings(docs).withColumn("part", self._part())
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(self.folder)
+
+    def postings(self) -> DataFrame:
+        return self._rows().where("id is not null").drop("part")
+
+    def search(self, query: str, page: int = 1, per_page: int = 20) -> tuple[DataFrame, DataFrame]:
+        """(total, hits): one row with the number of documents found, and a page of (id, score)."""
+        index = self.postings()
+        n, mean = statistics(index).first()  # two numbers
+        return matched(index, query).agg(F.count("*").alias("total")), search(index, n, mean or 1.0, query, page, per_page)
+
+    def sync(self, stream: DataFrame, checkpoint: str):
+        """Keeps the index up to date with a stream of documents (id, text, and ``gone`` where one is deleted)."""
+
+        def write(batch: DataFrame, _: int) -> None:
+            batch = batch.dropDuplicates(["id"])
+            gone = batch.where("gone") if "gone" in batch.columns else batch.limit(0)
+            self._replace(batch.select("id"), postings(batch.join(gone.select("id"), "id", "left_anti")))
+
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def all_terms(docs: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:

@@ -20,10 +20,13 @@ def version_chain(notices: DataFrame) -> DataFrame:
 
 
 def top_with_overflow(df: DataFrame, key: str, n: int, *order) -> DataFrame:
-    """The first ``n`` of each group and how many more the group has."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0)))
-    return ranked.where(F.col("rank") <= n)
+    """The first ``n`` of each group and how many more the group has.
+
+    Groups are counted apart, so that the ranking may stop at ``n`` rows of a group before the shuffle.
+    """
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+    more = df.groupBy(F.col(key).alias("_key")).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return ranked.join(more, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def failure_runs(log: DataFrame, key: str = "source_id", alert_at: int = 2, repeat: int = 7) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import channels as ch, dates as d, text as x, urls as u
 from ..operators import diff, matching, search as se
 from ..sources import html
+from ..sources.paths import shared_folder
 from .registry import query
 from .views import TODAY
 
@@ -128,6 +129,18 @@ def _(t):
     return a.where("size(k) = 3").join(b, "k").where("a < b").where(u.alternate_hosts(F.col("ua"), F.col("ub"))).select("a", "b")
 
 
+@query(
+    "f41_candidates",
+    """with u as (select page_id, url as page, case page_id % 3 when 0 then 'https://files.' || regexp_extract(url, '^https?://([^/:]+)', 1) || '/f/' || page_id || '.pdf?v=1' when 1 then regexp_extract(url, '^(https?://[^/]+)', 1) || '/f/' || page_id || '.pdf' else 'https://files.else.example/f.pdf' end as file from pages),
+ h as (select *, regexp_extract(url, '^https?://([^/:]+)', 1) as host from (select page_id, page as url, file from u))
+ select page_id, case when page_id % 3 = 0 and len(string_split(host, '.')) >= 3 then [file, regexp_extract(url, '^(https?://[^/]+)', 1) || '/f/' || page_id || '.pdf?v=1'] else [file] end as candidates from h""",
+)
+def _(t):
+    origin, host, key = F.regexp_extract("url", "^(https?://[^/]+)", 1), u.host(F.col("url")), F.col("page_id").cast("string")
+    file = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://files."), host, F.lit("/f/"), key, F.lit(".pdf?v=1"))).when(F.col("page_id") % 3 == 1, F.concat(origin, F.lit("/f/"), key, F.lit(".pdf"))).otherwise("https://files.else.example/f.pdf")
+    return t.pages.select("page_id", u.candidates(file, F.col("url")).alias("candidates"))
+
+
 @query("f42_sanitized", r"select doc_id, substr(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), 1, 200000) as text from documents")
 def _(t):
     return t.documents.select("doc_id", x.sanitized(F.col("text")).alias("text"))
@@ -168,18 +181,52 @@ def _(t):
     return t.pages.select("page_id", x.escaped_html(F.col("html")).alias("safe"))
 
 
-@query("k02_search")
+_TERMS = "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))"
+
+
+@query(
+    "k02_search",
+    f"""with terms as (select doc_id as id, {_TERMS} as term from documents), sizes as (select id, count(*) as doc_len from terms group by 1),
+ st as (select count(*) as n, avg(doc_len) as mean from sizes), per as (select id, w, count(*) as tf from terms join (values ('licensed'), ('version')) q(w) on starts_with(term, w) group by 1, 2),
+ df as (select w, count(*) as df from per group by 1)
+ select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * doc_len / mean))), 6) as score
+ from per join df using (w) join sizes using (id), st group by id having count(*) = 2 order by score desc, id limit 20""",
+)
 def _(t):
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    index = se.postings(docs)
-    stats = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
-    return se.search(index, stats.n, stats.mean or 1.0, "licensed version")
+    index = se.SearchIndex(t.spark, shared_folder(t.spark, "search-index"))
+    index.rebuild(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return index.search("licensed version")[1]
 
 
 @query("k02_match_set", "select doc_id as id from documents where regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])licensed') and regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])version')")
 def _(t):
-    index = se.postings(t.documents.select(F.col("doc_id").alias("id"), "text"))
-    return se.search(index, 1, 1.0, "licensed version", per_page=2**31 - 1).select("id")
+    return se.matched(se.postings(t.documents.select(F.col("doc_id").alias("id"), "text")), "licensed version")
+
+
+@query(
+    "m22_index_writes",
+    f"""with now as (select doc_id as id, case when doc_id % 10 = 0 then 'revised edition ' || coalesce(text, '') else text end as text from documents where doc_id % 7 <> 0),
+ terms as (select id, {_TERMS} as term from now)
+ select id, count(*) as doc_len, count(distinct term) as n_terms from terms group by 1""",
+)
+def _(t):
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    index = se.SearchIndex(t.spark, shared_folder(t.spark, "search-index"))
+    index.index(docs)
+    index.index(docs.where("id % 10 = 0").select("id", F.concat(F.lit("revised edition "), F.coalesce("text", F.lit(""))).alias("text")))
+    index.remove(docs.where("id % 7 = 0"))
+    return index.postings().groupBy("id").agg(F.first("doc_len").cast("long").alias("doc_len"), F.count("*").alias("n_terms"))
+
+
+@query(
+    "k02_phrase",
+    """with titled as (select o_orderkey as id, list_extract(['公开征求意见的通知', '意见征求公开', '关于food安全标准的通告', 'food safety 意见', '征求 意见'], (o_orderkey % 5)::int + 1) || ' ' || o_orderkey as text from orders)
+ select id from titled where contains(text, '意见') and contains(text, '征求')""",
+)
+def _(t):
+    titles = F.array(*map(F.lit, ("公开征求意见的通知", "意见征求公开", "关于food安全标准的通告", "food safety 意见", "征求 意见")))
+    docs = t.orders.select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.get(titles, F.col("o_orderkey") % 5), F.col("o_orderkey").cast("string")).alias("text"))
+    return se.matched(se.postings(docs), "意见 征求")
 
 
 @query("k03_all_terms", "select doc_id from documents where contains(lower(text), 'license') and contains(lower(text), 'version')")
