@@ -101,3 +101,23 @@ def test_edge_rows(spark):
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 399_999]
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+MENU = "".join(f"<p><a href=/x{k}>t{k}</a> <b>u{k}</b> <i>v{k}</i></p>" for k in range(8))
+
+
+@pytest.mark.parametrize("page", ["<body><div>{menu}</div><div id=c>{text}</div><div>{menu}</div></body>", "<body>{menu}{text}{menu}</body>", "<body><div class=x>{menu}</div><div class=y>{text}</div><div class=z>{menu}</div></body>"])
+def test_ratios_choose_the_region(page, monkeypatch):
+    """No name, sectioning element or line of links tells menu from text here; with flat ratios the menus stay."""
+    from vellum.llm import main_text as module
+
+    html = page.format(menu=MENU, text=f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>End.</p>")
+    want = "\n".join(["Title", LONG, "Short.", LONG, "End."])
+    assert main_text(html) == want
+    monkeypatch.setattr(module, "_high", lambda ratios: ratios > 0)
+    assert main_text(html) != want
+
+
+@pytest.mark.parametrize("name", ["notice-board", "comment-page", "footer-less", "ad-hoc"])
+def test_odd_names_around_an_article(name):
+    assert main_text(f'<body><div id="{name}"><article><h1>Title</h1><p>{LONG}</p></article></div></body>') == f"Title\n{LONG}"

@@ -10,7 +10,8 @@ The content region is then made whole: an article or main that holds nearly all
 text is taken, else the innermost sectioning element that does, widened to the outermost one around it
 that adds no part of the page's frame (menu, header, footer, sidebar). All its blocks that are not
 excluded are the main text, short ones too. A page whose region is its whole body keeps what lies between
-the first and last high block, and what goes on from there up to the page's frame or to lines of links.
+the first and last high block. Such regions go on up to the page's frame, to lines of links, or to blocks
+of the low cluster that have a tag every few characters, at least two in a row.
 
 Defined results: null, empty and text-free pages give an empty string; repeated rows give repeated
 results; an empty table gives no rows; pages of any length are read whole; only three columns of
@@ -61,6 +62,8 @@ _MODIFIED = re.compile(r"(?:(?<=\s)|^|(?<=[-_]))(?:has|with|without|no)[-_]\S*")
 #: Names of a header that belongs to an article, wherever it stands.
 _OF_ARTICLE = re.compile(r"(?:^|\s)(?:post|entry|article|story|content)[-_]+header(?=\s|$)")
 _A_HEADER = re.compile(r"(?:^|\s)(?:\S+[-_])?header(?=\s|$)")
+#: Characters per tag, beyond the tags of a block's own element, under which a low block is markup rather than text.
+DENSE, OWN_TAGS = 12, 3
 #: Elements that may hold the content region; a list, table, quotation or listing is a part of it.
 _HOLDERS = frozenset(("html", "body", "article", "main", "section", "div"))
 #: Elements that an opening article or main ends if their own end is missing.
@@ -292,7 +295,9 @@ def main_text(html: str | None) -> str:
     open_blocks = [b for b in blocks if not b[3]]
     if not open_blocks:
         return ""
-    high = _high(np.array([0.0 if b[3] else len(b[0]) / b[1] for b in blocks]))
+    ratios = np.array([0.0 if b[3] else len(b[0]) / b[1] for b in blocks])
+    high = _high(ratios)
+    dense = _dense(parser, high)
     mass: dict[int, int] = {}
     total = 0
     for b, is_high in zip(blocks, high):
@@ -310,23 +315,36 @@ def main_text(html: str | None) -> str:
         at = np.flatnonzero(high)
         first, last = int(at[0]), int(at[-1])
     else:
-        first, last = _widened(parser, inner)
-    while first and not _ends_region(blocks, first - 1):
+        first, last = _widened(parser, inner, dense)
+    while first and not _ends_region(blocks, first - 1, dense):
         first -= 1
-    while last + 1 < len(blocks) and not _ends_region(blocks, last + 1):
+    while last + 1 < len(blocks) and not _ends_region(blocks, last + 1, dense):
         last += 1
     return "\n".join(b[0] for b in blocks[first : last + 1] if not b[3])
 
 
-def _ends_region(blocks: list[tuple], k: int) -> bool:
-    """Whether block ``k`` is of the page's frame, or a line of a menu: of several links, or of one next to others."""
+def _dense(parser: BlockParser, high: np.ndarray) -> np.ndarray:
+    """Blocks of the low cluster, headings aside, that are markup with little text and stand next to one like them."""
+    blocks = parser.blocks
+    tags = np.array([b[1] for b in blocks]) - OWN_TAGS
+    alone = ~high & (tags > 0) & (np.array([len(b[0]) for b in blocks]) < DENSE * tags) & ~np.array([b[3] or any(parser.names.get(e) in HEADINGS for e in b[2]) for b in blocks])
+    beside = np.zeros(len(blocks), bool)
+    beside[1:] |= alone[:-1]
+    beside[:-1] |= alone[1:]
+    return alone & beside
+
+
+def _ends_region(blocks: list[tuple], k: int, dense: np.ndarray) -> bool:
+    """Whether block ``k`` is of the page's frame, dense markup, or a line of a menu: of several links, or of one next to others."""
+    if dense[k]:
+        return True
     if not blocks[k][4]:
         return blocks[k][5]
     return blocks[k][4] > 1 or any(0 <= j < len(blocks) and blocks[j][4] for j in (k - 1, k + 1))
 
 
-def _widened(parser: BlockParser, inner: int) -> tuple[int, int]:
-    """First and last block of the outermost element around ``inner`` that adds no frame, and no menu before it."""
+def _widened(parser: BlockParser, inner: int, dense: np.ndarray) -> tuple[int, int]:
+    """First and last block of the outermost element around ``inner`` that adds no frame or dense markup, and no menu before it."""
     blocks = parser.blocks
     path = next(b[2] for b in blocks if inner in b[2])
     around = set(path[: path.index(inner) + 1])
@@ -344,7 +362,7 @@ def _widened(parser: BlockParser, inner: int) -> tuple[int, int]:
         if name not in _HOLDERS:
             continue
         start, stop = spans[element]
-        if any(_ends_region(blocks, k) for k in range(start, first)) or any(b[5] for b in blocks[last + 1 : stop + 1]):
+        if any(_ends_region(blocks, k, dense) for k in range(start, first)) or any(b[5] for b in blocks[last + 1 : stop + 1]) or dense[last + 1 : stop + 1].any():
             break
         first, last = start, stop
     return first, last
