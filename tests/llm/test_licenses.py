@@ -67,3 +67,12 @@ def test_against_sql(spark, small):
     got = licenses.license_scan(licenses.document_files(spark.read.parquet(f"{small}/documents.parquet"))).collect()
     key = lambda r: [str(x) for x in r]
     assert sorted(map(key, got)) == sorted(map(key, want)) and any(r.basis == "own" for r in got)
+
+
+def test_long_texts_and_long_licence_documents(spark):
+    words = "Every part of it was read by many people over the years and written down again. "
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 400)
+    docs = spark.createDataFrame([(1, words * 2000 + apache + " " + words * 2000, "en", "s"), (17, "nothing", "en", "s"), (2, words * 2000, "en", "s"), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in licenses.license_scan(licenses.document_files(docs)).collect()}
+    assert got[1].own_license == "Apache-2.0" and (got[17].license, got[17].basis) == ("Apache-2.0", "inherited")
+    assert got[2].basis == got[3].basis == "none"

@@ -93,6 +93,7 @@ def _run_scores(files: DataFrame, weights: DataFrame, vectors: DataFrame, unknow
     length = F.broadcast(files.sparkSession.createDataFrame(lengths, "template int, length int"))  # fixed size
     found = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
     texts = files.groupBy("path", "text").agg(F.lit(1).alias("one")).select("path", F.xxhash64("text").alias("of"), found.alias("terms"))
+    texts = stored(texts, "licence-texts")  # with a cue only; else each place would cut its whole text into terms anew
     near = F.expr(f"transform(filter(sequence(1, size(terms)), k -> terms[k - 1] rlike '{CUE_TERM}'), k -> sequence(greatest(k - {longest - 1}, 1), least(k + {longest - 1}, size(terms))))")
     places = texts.where("size(terms) > 0").select("path", "of", F.explode(F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(k.alias("pos"), F.get("terms", k - 1).alias("term")))).alias("p")).select("path", "of", "p.pos", "p.term")
     places = stored(places.join(weights, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(unknown))), "licence-places")  # around cue words only; used twice
@@ -131,7 +132,8 @@ def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     ancestors = dirs.select("of", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("dir"))), above)).alias("a")).select("of", "a.depth", "a.dir")
     ancestors = ancestors.where("depth = 0 or dir <> ''")
     nearest = ancestors.join(F.broadcast(licensed) if few else licensed, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("near"))
-    scanned = paths.join(own, "path", "left").join(nearest, "of", "left")
+    nearest = stored(nearest, "nearest-licences")  # a row per directory; few are sent around, so that a large directory's files stay spread
+    scanned = paths.join(own, "path", "left").join(F.broadcast(nearest) if nearest.count() <= BROADCAST_ROWS else nearest, "of", "left")
     inherited = F.col("near.dir_license")
     return scanned.select(
         "id",
@@ -146,8 +148,9 @@ def license_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 #: The documents table has no paths. Its rows are laid out as a tree by source, language and id, and
-#: a short text with a licence cue stands as its directory's licence file.
-PATH_RULE = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), concat('part-', coalesce(doc_id % 16, 0)), concat(case when length(text) < 400 and regexp_like(text, '{cue}') then 'LICENSE-' else 'doc-' end, coalesce(cast(doc_id as {string}), '-')))"
+#: a text with a licence cue, however long it is, stands as a licence file of its directory; whether it
+#: speaks for the directory is decided by its score, as for any licence file.
+PATH_RULE = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), concat('part-', coalesce(doc_id % 16, 0)), concat(case when regexp_like(text, '{cue}') then 'LICENSE-' else 'doc-' end, coalesce(cast(doc_id as {string}), '-')))"
 
 
 def document_files(docs: DataFrame) -> DataFrame:
