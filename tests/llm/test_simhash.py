@@ -96,3 +96,12 @@ def test_repeated_ids_lose_no_text(spark):
     assert found == {(1, fp[a]): 1, (1, fp[b]): 1, (2, fp[b]): 1, (3, fp[c]): 3, (4, fp[c]): 3, (None, fp[a]): None}
     kept = sorted((r.doc_id or 0, r.text, r.kept) for r in simhash.keep_one_each(docs, id_is_document=False).collect())
     assert kept == sorted([(1, a, "x"), (1, b, "y"), (3, c, "p"), (0, a, "n")])
+
+
+def test_fingerprints_of_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = [(k, "the same text of these words" if k % 2 else f"text number {k} with words of its own {k * 7}") for k in range(40)] + [(None, "the same text of these words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[k] == (1 if k % 2 else k) for k in range(40)) and len(got) == 41 and got[None] is None
+    assert sorted(r.doc_id for r in simhash.keep_one_each(docs).where("doc_id is not null").collect()) == sorted({got[k] for k in range(40)})

@@ -28,6 +28,8 @@ SHINGLE = 3
 MAX_BITS = 3
 #: Fingerprints that may own a key before the key is split.
 SPLIT_OVER = 4096
+#: Rows from which on a fingerprint is joined by sending its component around, and the most such fingerprints sent.
+HOT_ROWS, MOST_HOT = 1000, 1_000_000
 LOW = 0xFFFFFFFF
 
 
@@ -157,23 +159,38 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, split_over: int = SPLIT
 
 
 def _components(every: DataFrame, max_bits: int, split_over: int) -> DataFrame:
-    """(fp, root, component) of every fingerprint of ``every`` (doc_id, fp).
+    """(fp, root, component, n) of every fingerprint of ``every`` (doc_id, fp), with its number of rows.
 
     Fingerprints are the nodes, so an id that is repeated with other texts links nothing; a component
     is named by the least id that any of its fingerprints belongs to.
     """
-    fps = stored(every.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    every_fp = stored(every.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
+    fps = every_fp.where("rep is not null")  # those of null ids alone link nothing
     roots = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")), max_bits, split_over))
     linked = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     linked = linked.join(least, "root").select("fp", "root", "component")
-    return fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "rep").alias("component"))
+    found = every_fp.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "rep").alias("component"), "n")
+    return stored(found, "fingerprint-components")
+
+
+def _beside_rows(every: DataFrame, components: DataFrame) -> DataFrame:
+    """``every`` with its components; rows of a fingerprint that very many share are never dealt to one task."""
+    least = HOT_ROWS
+    while (n_hot := (hot := components.where(F.col("n") > least)).count()) > MOST_HOT:
+        least *= 10
+    columns = [*every.columns, "component"]
+    if not n_hot:
+        return every.join(components, "fp", "left").select(*columns)
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
+    rest = every.join(hot, "fp", "left_anti").join(components.where(F.col("n") <= least), "fp", "left")
+    return every.join(hot, "fp").select(*columns).unionByName(rest.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     every = stored(fingerprints(docs, shingle), "fingerprints")
-    return every.join(_components(every, max_bits, split_over), "fp", "left").select(
+    return _beside_rows(every, _components(every, max_bits, split_over)).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
@@ -192,8 +209,9 @@ def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("h"))
     texts = rows.where("id is not null").select(F.col("id").alias("doc_id"), "h", F.col("row.text").cast("string").alias("text"))
     every = stored(fingerprints(texts, shingle, "h"), "fingerprints")
-    of = every.join(_components(every, max_bits, split_over), "fp")
-    chosen = of.groupBy("component" if id_is_document else "root").agg(F.min(F.struct("doc_id", "h")).alias("kept"))
+    first = every.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("row"))  # copies meet their like before any join
+    of = first.join(_components(every, max_bits, split_over), "fp")
+    chosen = of.groupBy("component" if id_is_document else "root").agg(F.min("row").alias("kept"))
     chosen = chosen.select(F.col("kept.doc_id").alias("id"), F.col("kept.h").alias("h"))
     times = every.groupBy(F.col("doc_id").alias("id"), "h").count()
     chosen = stored(chosen.join(times, ["id", "h"]), "kept-rows")
