@@ -35,7 +35,7 @@ _simple("p04_agency_lead", lambda: f.has_agency("NATION_3", lead_only=True), "ag
 _simple("p05_month_range", lambda: f.in_months("1996-03", "1996-07"), "strftime(published, '%Y-%m') between '1996-03' and '1996-07'")
 _simple("p05_month_open_end", lambda: f.in_months("1998-03"), "strftime(published, '%Y-%m') >= '1998-03'")
 _simple("p06_keywords", lambda: f.has_keywords("household 1-URGENT"), "(contains(lower(title), 'household') or contains(lower(body), 'household')) and (contains(lower(title), '1-urgent') or contains(lower(body), '1-urgent'))")
-_simple("p06_keywords_literal", lambda: f.has_keywords("100%"), "contains(lower(title), '100%') or contains(lower(body), '100%')")
+_simple("p06_keywords_literal", lambda: f.has_keywords("r#00000"), "contains(lower(title), 'r#00000') or contains(lower(body), 'r#00000')")
 _simple("p07_source", lambda: F.col("source_id") == "S7", "source_id = 'S7'")
 _simple("p08_still_open", lambda: f.still_open(TODAY), f"status = 'open' and (deadline is null or deadline >= date '{TODAY}')")
 _simple("p09_recent", lambda: f.seen_since(NOW, 7), f"first_seen >= timestamp '{NOW}' - interval 7 day")

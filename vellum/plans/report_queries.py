@@ -166,9 +166,12 @@ def _(t):
     return per.select("source_id", a.verdict(by_fails, F.when(F.col("lag") > 0, "warn").otherwise("ok")).alias("verdict"))
 
 
-@query("a27_masked_groups", """select regexp_replace(props, '[0-9]+', 'N', 'g') as form, count(*) as n from events group by 1""")
+@query("a27_masked_groups", """select regexp_replace(event_type || ' of "' || user_id || '" failed at "' || props, '"[^"]*"', '"…"', 'g') as form, count(*) as n from events group by 1""")
 def _(t):
-    return t.events.groupBy(F.regexp_replace("props", "[0-9]+", "N").alias("form")).agg(F.count("*").alias("n"))
+    from ..functions.text import masked_quotes
+
+    message = F.concat("event_type", F.lit(' of "'), F.col("user_id").cast("string"), F.lit('" failed at "'), "props")
+    return t.events.groupBy(masked_quotes(message).alias("form")).agg(F.count("*").alias("n"))
 
 
 @query("a28_references", "select src, count(*) as n_urls from (select l_partkey, min(l_suppkey) as src from lineitem group by 1) group by 1")
@@ -269,8 +272,13 @@ def _(t):
     return w.rate_limited(t.run_log, "source_id", 6 * 3600.0, 3)
 
 
-@query("w08_allocation", "select notice_id, list_sum(list_transform(given, lambda x: x))::bigint as used from (select notice_id, [least(w[1], greatest(5000 - (len(w) - 1) * 300, 0))] as given, w from (select notice_id, list(chars order by name) as w from (select distinct notice_id, name, chars from files where status = 'ok') group by 1) where len(w) = 1)")
+@query(
+    "w08_allocation",
+    """with recursive w as (select notice_id, list(chars order by name, chars) as w from (select distinct notice_id, name, chars from files where status = 'ok') group by 1),
+ r as (select notice_id, w, 1 as k, 5000::bigint as rest, []::bigint[] as given from w union all
+ select notice_id, w, k + 1, rest - g, list_append(given, g) from (select *, least(w[k], greatest(rest - (len(w) - k) * 300, 0))::bigint as g from r where k <= len(w)))
+ select notice_id, given from r where k = len(w) + 1""",
+)
 def _(t):
     wanted = t.files.where("status = 'ok'").select("notice_id", "name", "chars").distinct().groupBy("notice_id").agg(F.sort_array(F.collect_list(F.struct("name", "chars"))).alias("w"))
-    given = w.allocated(F.col("w.chars"), 5000, 300)
-    return wanted.where("size(w) = 1").select("notice_id", F.aggregate(given, F.lit(0).cast("long"), lambda x, y: x + y).alias("used"))
+    return wanted.select("notice_id", w.allocated(F.col("w.chars"), 5000, 300).alias("given"))

@@ -56,9 +56,10 @@ def _(t):
     return t.notices.select("id", s.display_state(F.col("summary"), F.col("summary_status"), F.col("clicks") % 2).alias("state"))
 
 
-@query("f38_provenance", "select status, case when status = 'ok' then 'unknown' else 'unknown' end as state, count(*) as n from files group by 1, 2")
+@query("f38_provenance", "select id, list_extract(['final', 'upgradeable by draft', 'upgradeable by draft', 'upgradeable', 'upgradeable', 'fixed', 'unknown', 'unknown'], (id % 8)::int + 1) as state from notices")
 def _(t):
-    return t.files.groupBy("status", s.provenance(F.col("status")).alias("state")).agg(F.count("*").alias("n"))
+    bases = F.array(*map(F.lit, ("draft", "explanation", "body_as_draft", "body", "title", "manual", "", None)))
+    return t.notices.select("id", s.provenance(F.get(bases, (F.col("id") % 8).cast("int"))).alias("state"))
 
 
 @query("f37_coverage", "select agency, case when count(*) = 0 then 'none' when count(*) = count(summary) then 'complete' else 'partial' end as coverage from notices group by 1")
@@ -119,9 +120,11 @@ def _(t):
     return t.events.select("event_id", s.client_key(forwarded, F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("client"))
 
 
-@query("f46_probe", "select id, substr(title, 1, 10) as probe from notices")
+@query("f46_probe", "select id, case when id % 3 = 0 then title when id % 3 = 1 then substr('On ' || title, 1, 10) else '《abc》 of i' end as probe from notices")
 def _(t):
-    return t.notices.select("id", s.probe_term(F.col("title")).alias("probe"))
+    third = F.col("id") % 3
+    title = F.when(third == 0, F.concat(F.lit("On 《"), "title", F.lit("》 and more"))).when(third == 1, F.concat(F.lit("On "), "title")).otherwise("《abc》 of it")
+    return t.notices.select("id", s.probe_term(title).alias("probe"))
 
 
 @query("f61_reminder_phrases", "select id, case when deadline - date '1998-06-01' = 0 then 'closes today' when deadline - date '1998-06-01' < 7 then 'catching up: ' || (deadline - date '1998-06-01') || ' days left' else (deadline - date '1998-06-01') || ' days left' end as phrase from notices where deadline >= date '1998-06-01'")
@@ -130,9 +133,14 @@ def _(t):
     return t.notices.where(days >= 0).select("id", s.reminder_note(F.lit("d7"), days).alias("phrase"))
 
 
-@query("f28_change_counts", "select conv_id, turn, len(regexp_extract_all(text, '(?i)new ')) as n_added from conversations")
+@query(
+    "f28_change_counts",
+    """select id, (id % 3)::int as n_added, (id % 2)::int as n_removed, (case when id % 5 = 0 then 2 else 0 end)::int as n_modified from notices""",
+)
 def _(t):
-    return t.conversations.select("conv_id", "turn", s.change_counts(F.col("text"))[0].alias("n_added"))
+    key = F.col("id")
+    parts = [F.when(key % 3 == 1, F.lit("新增一条。")).when(key % 3 == 2, F.lit("A NEW rule; 增加两款。")), F.when(key % 2 == 1, F.lit("Rule 3 is deleted.")), F.when(key % 5 == 0, F.lit("Rule 4 is Amended, rule 5 调整。"))]
+    return t.notices.select("id", *s.change_counts(F.concat_ws(" ", *parts)))
 
 
 @query("t06_change_table")
@@ -145,9 +153,10 @@ def _(t):
     return t.notices.select("id", merged_channels(F.array("agency", "status"), F.array(F.upper("status"), F.lit(" "), F.col("agency"))).alias("merged"))
 
 
-@query("f52_kinds", "select page_id, 'url' as kind from pages")
+@query("f52_kinds", "select page_id, list_extract(['url', 'email', 'phone', 'address', 'phone', 'address'], (page_id % 6)::int + 1) as kind from pages")
 def _(t):
-    return t.pages.select("page_id", inferred_kind(F.col("url")).alias("kind"))
+    values = F.array(F.col("url"), *map(F.lit, ("desk@office.example.org", "+86 (10) 1234-5678", "12 Long Road, Hall 3", "010-12345", "12345")))
+    return t.pages.select("page_id", inferred_kind(F.get(values, (F.col("page_id") % 6).cast("int"))).alias("kind"))
 
 
 def _ranked_files(t):

@@ -96,18 +96,26 @@ def _(t):
     return t.documents.select("doc_id", x.fingerprint(F.concat(F.lit("“"), "text", F.lit("”"))).alias("fp"))
 
 
-@query("f27_segments_in_order", "select doc_id, length(text) >= 100 as held from documents where length(text) >= 100")
+@query(
+    "f27_segments_in_order",
+    f"""with f as (select doc_id, regexp_replace(text, '{_WS}+', '', 'g') as flat from documents),
+ p as (select doc_id, flat, case when doc_id % 2 = 0 then substr(flat, 5, 20) else substr(flat, 40, 20) end as a, case when doc_id % 2 = 0 then substr(flat, 40, 20) else substr(flat, 5, 20) end as b from f where length(flat) >= 60)
+ select doc_id, strpos(flat, a) > 0 and strpos(substr(flat, strpos(flat, a) + 20), b) > 0 as held from p where not regexp_matches(a || b, '["“”„‟«»「」『』〝〞＂…]|[.][.][.]')""",
+)
 def _(t):
-    # two pieces of a text stand in it in their order
-    flat = x.stripped(F.col("text"))
-    quote = F.concat(F.substring(flat, 5, 20), F.lit("……"), F.substr(flat, F.lit(40), F.lit(20)))
-    held = x.contains_in_order(flat, x.segments(quote))
-    return t.documents.where("length(text) >= 100").where(F.length(flat) >= 60).select("doc_id", held.alias("held")).unionByName(t.documents.where("length(text) >= 100").where(F.length(flat) < 60).select("doc_id", F.lit(True).alias("held")))
+    # two pieces of a text, in their order or the other way round
+    docs = t.documents.select("doc_id", x.stripped(F.col("text")).alias("flat")).where(F.length("flat") >= 60)
+    parts = F.substring("flat", 5, 20), F.substring("flat", 40, 20)
+    even = F.col("doc_id") % 2 == 0
+    docs = docs.select("doc_id", "flat", F.when(even, parts[0]).otherwise(parts[1]).alias("a"), F.when(even, parts[1]).otherwise(parts[0]).alias("b"))
+    docs = docs.where(~F.concat("a", "b").rlike('["“”„‟«»「」『』〝〞＂…]|[.][.][.]'))
+    return docs.select("doc_id", x.contains_in_order(F.col("flat"), x.segments(F.concat("a", F.lit("……"), "b"))).alias("held"))
 
 
-@query("f29_sentences", "select doc_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) as n from documents")
+@query("f29_sentences", "select doc_id, len(list_filter(string_split(regexp_replace(replace(replace(text, '. ', '。'), ', ', '；'), '([。；])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s) <> '')) as n from documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(x.sentences(F.regexp_replace("text", "[。；！？]", " "))).alias("n"))
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit("。")), F.lit(", "), F.lit("；"))
+    return t.documents.select("doc_id", F.size(x.sentences(marked)).alias("n"))
 
 
 @query("f31_channels")
@@ -146,9 +154,12 @@ def _(t):
     return t.documents.select("doc_id", x.sanitized(F.col("text")).alias("text"))
 
 
-@query("f44_error_kind", "select event_id, case when props like '%9%' then 'quota' when props like '%8%' then 'timeout' else 'other' end as kind from events")
+@query("f44_error_kind", "select event_id, list_extract(['quota', 'quota', 'timeout', 'timeout', 'other', 'quota', 'other'], (event_id % 7)::int + 1) as kind from events")
 def _(t):
-    return t.events.select("event_id", F.when(F.col("props").rlike("9"), "quota").when(F.col("props").rlike("8"), "timeout").otherwise("other").alias("kind"))
+    from ..functions.summaries import error_kind
+
+    messages = F.array(*map(F.lit, ("HTTP 429: Rate limit", "insufficient BALANCE", "connect ETIMEDOUT", "The request timed out", "HTTP 500", "quota exceeded, time out", "rating 42")))
+    return t.events.select("event_id", error_kind(F.get(messages, (F.col("event_id") % 7).cast("int"))).alias("kind"))
 
 
 @query("f63_clean_quote", "select conv_id, turn, case when length(trim(text)) between 1 and 300 then trim(text) end as quote from conversations where not contains(text, '\"')")
@@ -239,12 +250,19 @@ def _(t):
     return t.notices.select("id", F.concat_ws("\n", "summary", "title").alias("text"))
 
 
-@query("a24_traceability", "select role, count(*) filter (where true) as traced, count(*) as total from conversations where length(text) >= 60 group by 1")
+@query(
+    "a24_traceability",
+    f"""with l as (select conv_id, turn, role, regexp_replace(text, '{_WS}+', '', 'g') as flat, case when turn % 2 = 0 then substr(text, 11, 40) else reverse(substr(text, 11, 40)) end as quote from conversations where length(text) >= 60),
+ q as (select *, regexp_replace(quote, '{_WS}+', '', 'g') as bare from l where not regexp_matches(quote, '["“”„‟«»「」『』〝〞＂…]|[.][.][.]'))
+ select role, count(*) filter (where length(bare) >= 8 and contains(flat, bare)) as traced, count(*) as total from q group by 1""",
+)
 def _(t):
     long = t.conversations.where("length(text) >= 60")
-    quotes = long.select("conv_id", "turn", "role", F.substring("text", 11, 40).alias("quote"))
+    piece = F.substring("text", 11, 40)
+    quotes = long.select("conv_id", "turn", "role", F.when(F.col("turn") % 2 == 0, piece).otherwise(F.reverse(piece)).alias("quote"))  # every other one is not in its text
+    quotes = quotes.where(~F.col("quote").rlike('["“”„‟«»「」『』〝〞＂…]|[.][.][.]'))
     traced = matching.traced_quotes(quotes, long.select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return traced.groupBy("role").agg(F.count_if(F.col("traced") | (F.length(x.stripped(F.col("quote"))) < 8)).alias("traced"), F.count("*").alias("total"))
+    return traced.groupBy("role").agg(F.count_if("traced").alias("traced"), F.count("*").alias("total"))
 
 
 @query("t01_clauses", "select conv_id, turn, count(*) as n from (select conv_id, turn, unnest(string_split(text, chr(10))) as line from conversations) where trim(line) <> '' and not regexp_matches(line, '^\\s*\\d+[.、)]') group by 1, 2 having count(*) > 0")

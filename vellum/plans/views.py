@@ -116,4 +116,6 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join(used) + ", " + body[15:]
     return "with " + ", ".join(used) + (", " + body[5:] if body.lower().startswith("with ") else " " + body)
