@@ -267,7 +267,14 @@ def _(t):
     return w.top_with_overflow(ok, "notice_id", 3, F.desc("chars"), "name").select("notice_id", "name", "chars")
 
 
-@query("w07_rate_limit")
+@query(
+    "w07_rate_limit",
+    """with recursive e as (select *, row_number() over (partition by source_id order by "at", seq) as rn from run_log),
+ r as (select source_id, "at", seq, ok, rn, "at" as opened, 1 as n from e where rn = 1 union all
+ select e.source_id, e."at", e.seq, e.ok, e.rn, case when e."at" - r.opened >= interval 6 hour then e."at" else r.opened end, case when e."at" - r.opened >= interval 6 hour then 1 else r.n + 1 end
+ from r join e on e.source_id = r.source_id and e.rn = r.rn + 1)
+ select source_id, "at", seq, ok, n <= 3 as passed from r""",
+)
 def _(t):
     return w.rate_limited(t.run_log, "source_id", 6 * 3600.0, 3)
 

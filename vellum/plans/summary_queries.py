@@ -190,7 +190,14 @@ def _(t):
     return feeds.circuit_broken(attempts).select("batch", "seq", "skipped")
 
 
-@query("x09_host_policy")
+@query(
+    "x09_host_policy",
+    """with recursive e as (select source_id::varchar as host, "at", seq, not ok as refused, row_number() over (partition by source_id order by "at", seq) as rn from run_log),
+ r as (select host, rn, seq, "at" as last, refused::int as refusals, null::varchar as reason from e where rn = 1 union all
+ select host, rn, seq, case when reason is null then "at" else last end, case when reason is not null then refusals when refused then refusals + 1 else 0 end, reason
+ from (select e.*, r.last, r.refusals, case when r.refusals >= 3 then 'tripped' when e."at" - r.last < interval 1 hour then 'too early' end as reason from r join e on e.host = r.host and e.rn = r.rn + 1))
+ select host, seq, reason is null as allowed, reason from r""",
+)
 def _(t):
     requests = t.run_log.select(F.col("source_id").cast("string").alias("host"), "seq", F.col("at").alias("at"), (~F.col("ok")).alias("refused"))
     return feeds.host_policy(requests, gap_seconds=3600.0)
@@ -222,3 +229,20 @@ def _(t):
 
     q = NoticeQuery.parse({"audience": "public", "from": "1997-01", "to": "1997-12", "q": "machinery", "since": "999"}, "1998-06-01", "1998-06-01 00:00:00")
     return t.spark.createDataFrame([(q.describe(),)], "says string")
+
+
+@query(
+    "f36_quoted_tally",
+    """with l as (select conv_id, turn, role, text, case when turn % 2 = 0 then substr(text, 11, 40) else reverse(substr(text, 11, 40)) end as quote from conversations where length(text) >= 60),
+ q as (select *, regexp_replace(quote, '[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') as bare, regexp_replace(text, '[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') as flat from l where not regexp_matches(quote, '["“”„‟«»「」『』〝〞＂…]|[.][.][.]')),
+ k as (select conv_id, role, turn, quote, length(bare) >= 8 and contains(flat, bare) as held from q)
+ select conv_id, role as section, count(*) filter (where held) as kept, count(*) filter (where not held) as dropped, coalesce(string_agg(quote, chr(10) order by turn) filter (where held), '') as text from k group by 1, 2""",
+)
+def _(t):
+    from ..operators.matching import quoted_summaries
+
+    long = t.conversations.where("length(text) >= 60")
+    piece = F.substring("text", 11, 40)
+    items = long.select(F.struct("conv_id", "turn").alias("source"), F.col("conv_id").alias("id"), F.col("role").alias("section"), F.col("turn").alias("place"), F.when(F.col("turn") % 2 == 0, piece).otherwise(F.reverse(piece)).alias("quote"))
+    items = items.where(~F.col("quote").rlike('["“”„‟«»「」『』〝〞＂…]|[.][.][.]')).withColumn("text", F.col("quote"))
+    return quoted_summaries(items, long.select(F.struct("conv_id", "turn").alias("source"), "text")).withColumnRenamed("id", "conv_id")

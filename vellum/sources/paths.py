@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder's name in the shared folder of ``spark.checkpoint.dir``; a folder of this machine where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder's name in the shared folder of ``spark.checkpoint.dir``; in local mode a folder of this machine where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
