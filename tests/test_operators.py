@@ -242,7 +242,7 @@ def test_search(spark):
     assert [r.id for r in search.search(index, 3, 2.3, "app re").collect()] == [1]
     assert search.search(index, 3, 2.3, "!!!").count() == 0 == search.all_terms(docs, "%", ("text",)).count()
     probes = docs.select("id", F.col("text").alias("probe"))
-    assert all(r.found for r in search.self_retrieval(docs, probes).collect())
+    assert all(r.found for r in search.self_retrieval(index, probes, 3, 7 / 3).collect())
 
 
 def test_summaries(spark):

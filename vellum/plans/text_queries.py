@@ -222,13 +222,34 @@ def _(t):
 )
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    revised = F.concat(F.lit("revised edition "), F.coalesce("text", F.lit("")))
     index = se.SearchIndex(t.spark, shared_folder(t.spark, "search-index"))
     index.index(docs)
-    index.index(docs.where("id % 10 = 0").select("id", F.concat(F.lit("revised edition "), F.coalesce("text", F.lit(""))).alias("text")))
+    edits = docs.where("id % 10 = 0").select("id", F.explode(F.array(F.struct(F.lit(2).alias("at"), revised.alias("text")), F.struct(F.lit(1).alias("at"), F.lit("an edit before the last").alias("text")))).alias("e")).select("id", "e.*")
+    index.index(edits, order="at")
     index.remove(docs.where("id % 7 = 0"))
+    index.merge()
     return index.postings().groupBy("id").agg(F.first("doc_len").cast("long").alias("doc_len"), F.count("*").alias("n_terms"))
 
 
+@query(
+    "k07_self_retrieval",
+    r"""with titled as (select id, lower(title || ' ' || body) as text, lower(title) as probe from notices),
+ terms as (select id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) as term from titled), sizes as (select id, count(*) as doc_len from terms group by 1), st as (select count(*) as n, avg(doc_len) as mean from sizes),
+ pieces as (select distinct id as q, piece from (select id, unnest(regexp_extract_all(probe, '[\p{L}\p{N}]+')) as piece from titled where id % 6 = 0)), asked as (select q, count(*) as n_pieces from pieces group by 1),
+ served as (select piece, term from (select distinct piece from pieces) join (select distinct term from terms) on starts_with(term, piece)),
+ per as (select piece, id, count(*) as tf from terms join served using (term) group by all), df as (select piece, count(*) as df from per group by 1),
+ scored as (select q, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * doc_len / mean))), 6) as score from pieces join per using (piece) join df using (piece) join sizes using (id) join asked using (q), st group by q, id, n_pieces having count(*) = n_pieces),
+ ranked as (select q, id, row_number() over (partition by q order by score desc, id) as r from scored)
+ select q as id, coalesce(bool_or(r.id = q and r <= 20), false) as found from (select q from asked) left join ranked r using (q) group by q""",
+)
+def _(t):
+    n = t.notices.select("id", "title", F.concat_ws(" ", "title", "body").alias("text"))
+    index = se.SearchIndex(t.spark, shared_folder(t.spark, "search-index"))
+    index.rebuild(n.select("id", "text"))
+    return se.self_retrieval(index.postings(), n.where("id % 6 = 0").select("id", F.col("title").alias("probe")), *index.statistics())
+
+
 @query(
     "k02_phrase",
     """with titled as (select o_orderkey as id, list_extract(['公开征求意见的通知', '意见征求公开', '关于food安全标准的通告', 'food safety 意见', '征求 意见'], (o_orderkey % 5)::int + 1) || ' ' || o_orderkey as text from orders)
