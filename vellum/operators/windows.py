@@ -70,14 +70,15 @@ def folded(rows: DataFrame, key: str, columns: list[str], step, finish, schema)
 def rate_limited(hits: DataFrame, key: str, seconds: float, most: int) -> DataFrame:
     """Whether each hit passes a limiter whose window opens with a client's first hit after the last one closed.
 
-    A client's hits are folded in order of time; its state is the window's start and a count.
+    A client's hits are folded in order of time; its state is the window's start and a count. A limit of
+    0 or less lets all pass. One task folds a client's hits, as each verdict hangs on the one before.
     """
 
     def step(state, at):
         start, n = state or (at, 0)
         if start is not None and at is not None and (at - start) / 1e6 >= seconds:
             start, n = at, 0
-        return (start, n + 1), n < most
+        return (start, n + 1), most <= 0 or n < most
 
     def finish(batch, passed):
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(passed, pa.bool_())], names=[*batch.schema.names, "passed"])

@@ -141,6 +141,32 @@ query("x_sliding_counts", None)(_streamed(lambda jobs, e: jobs.sliding_counts(e,
 query("x_session_counts", None)(_streamed(lambda jobs, e: jobs.session_counts(e, "user_id"), complete=True))
 
 
+@query(
+    "x12_stream_limiter",
+    """with recursive e as (select *, row_number() over (partition by source_id order by "at", seq) as rn from run_log),
+ r as (select source_id, "at", seq, rn, "at" as opened, 1 as n from e where rn = 1 union all
+ select e.source_id, e."at", e.seq, e.rn, case when e."at" - r.opened >= interval 6 hour then e."at" else r.opened end, case when e."at" - r.opened >= interval 6 hour then 1 else r.n + 1 end
+ from r join e on e.source_id = r.source_id and e.rn = r.rn + 1)
+ select source_id as client, seq, n <= 3 as passed, case when n <= 3 then 0 else ceil((epoch_us(opened + interval 6 hour) - epoch_us("at")) / 1000)::bigint end as retry_ms from r""",
+)
+def _(t):
+    """The log comes as files of successive spans of time, a micro-batch each."""
+    from ..session import SETTINGS
+    from ..sources.paths import shared_folder
+    from ..streaming import limiter
+    from ..streaming.jobs import drained
+
+    folder, log = shared_folder(t.spark, "hits"), t.run_log.select("source_id", "seq", "at")
+    first, last = log.agg(F.min("at"), F.max("at")).first()
+    cuts = [first + (last - first) * k / 4 for k in range(1, 4)]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        span = log.where(F.lit(True) if low is None else F.col("at") >= F.lit(low)).where(F.lit(True) if high is None else F.col("at") < F.lit(high))
+        span.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    hits = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return drained(limiter.limited(hits, "source_id", 6 * 3600.0, 3), folder).select("client", "seq", "passed", "retry_ms")
+
+
 @query("s02_json_rows", "select event_id, k from (select event_id, unnest([(props->>'k')::bigint, event_id]) as k from events)")
 def _(t):
     answers = t.events.select("event_id", F.concat(F.lit('{"data":{"rows":['), "props", F.lit(',{"k":'), F.col("event_id").cast("string"), F.lit("}]}}")).alias("answer"))
