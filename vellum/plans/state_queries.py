@@ -179,7 +179,13 @@ def _(t):
     return t.pages.select("page_id", F.length(src.fragment(envelope)).alias("n_chars"))
 
 
-@query("s04_list_rows")
+@query(
+    "s04_list_rows",
+    r"""with a as (select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) as site, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) as label, unnest(range(1000))::int as n from pages),
+ u as (select page_id, n, label, site || href as url from a where href is not null),
+ f as (select *, row_number() over (partition by page_id, url order by n) as k from u)
+ select page_id, (row_number() over (partition by page_id order by n) - 1)::int as pos, coalesce(nullif(trim(regexp_replace(label, '\s+', ' ', 'g')), ''), regexp_extract(url, '[^/]*$')) as title, url from f where k = 1""",
+)
 def _(t):
     return html.list_rows(t.pages)
 
@@ -189,6 +195,63 @@ def _(t):
     return html.details(t.pages)
 
 
+_MARKED = """with named as (select id, 'S' || (id % 400) as list_id, id % 3 as kind, published, deadline, agency as nation, case when id % 2 = 0 then agency || '部关于《' || title || '》公开征求意见的通知' else '关于' || title || '的通知' end as title, '/n/' || id || '.html' as path from notices)"""
+
+
+def _marked(t):
+    """Notices as three sites would show them, beside their titles."""
+    whole = F.when(F.col("id") % 2 == 0, F.concat("agency", F.lit("部关于《"), "title", F.lit("》公开征求意见的通知"))).otherwise(F.concat(F.lit("关于"), "title", F.lit("的通知")))
+    return t.notices.select("id", (F.col("id") % 3).alias("kind"), "published", "deadline", F.concat(F.lit("S"), (F.col("id") % 400).cast("string")).alias("list_id"), "body", whole.alias("title"))
+
+
+@query(
+    "s04_source_lists",
+    _MARKED + """ select list_id, ['moj', 'samr', 'mot'][(kind + 1)::int] as source_id, 'https://example.org' || path as url, title, case when id % 2 = 0 then nation || '部' else ['司法部', '市场监管总局', '交通运输部'][(kind + 1)::int] end as agency,
+ published, case when kind = 1 then deadline end as deadline, case when kind = 1 and id % 5 <> 0 then 'open' when kind = 2 then 'closed' end as status from named""",
+    dates="published deadline",
+)
+def _(t):
+    from ..sources import adapters
+
+    day = lambda pattern, c="published": F.date_format(c, pattern)
+    href = F.concat(F.lit('href="/n/'), F.col("id").cast("string"), F.lit('.html"'))
+    moj = F.concat(F.lit("<li><a "), href, F.lit(">"), "title", F.lit('</a><span class="rightData">'), day("yyyy年M月d日"), F.lit("</span></li><li><a href='/'>首页</a>"))
+    state = F.when(F.col("id") % 5 == 0, "").otherwise("（进行中）")
+    samr = F.concat(F.lit('<li class="x zjnav04Left02_content"><div class=doctitle><a '), href, F.lit(' title="'), "title", F.lit('">'), F.substring("title", 1, 8), F.lit('…</a></div><span class="doctime">'), day("yyyy-MM-dd"), F.lit(" 至 "), F.coalesce(day("yyyy/M/d", "deadline"), F.lit("")), F.lit('</span><b class="docstatus">'), state, F.lit("</b>"))
+    mot = F.concat(F.lit('<li class="news-item"><a class="news-link" '), href, F.lit('><span class="news-title">[已结束] '), "title", F.lit('</span><span class="news-date">'), day("yyyy.MM.dd"), F.lit("</span></a></li>"))
+    row = F.when(F.col("kind") == 0, moj).when(F.col("kind") == 1, samr).otherwise(mot)
+    twice = F.when(F.col("id") % 10 == 0, F.concat(row, row)).otherwise(row)  # a row shown twice is one notice
+    source = F.get(F.array(*map(F.lit, ("moj", "samr", "mot"))), F.col("kind").cast("int"))
+    head = F.get(F.array(*map(F.lit, ('<nav><ul><li><a href="/about">关于本站</a></ul></nav><ul class="newsMsgList_zzy">', "<ul>", '<ul class="news-list">'))), F.col("kind").cast("int"))
+    pages = _marked(t).groupBy("list_id", "kind").agg(F.array_join(F.collect_list(twice), "\n").alias("rows"))
+    pages = pages.select("list_id", source.alias("source_id"), F.lit("https://example.org/list/index.html").alias("url"), F.concat(F.lit("<!DOCTYPE html><html><body>"), head, "rows", F.lit("</ul></body></html>")).alias("html"))
+    return adapters.list_rows(pages, keep=("list_id",)).select("list_id", "source_id", "url", "title", "agency", "published", "deadline", "status")
+
+
+@query(
+    "s05_source_details",
+    _MARKED + """ select 'https://example.org' || path as url, case when id % 7 > 0 and kind <> 1 then title end as title, case when id % 7 > 0 and kind <> 1 and id % 2 = 0 then nation || '部' end as agency,
+ case when id % 7 > 0 then published end as published, case when id % 7 > 0 then deadline end as deadline, case when id % 7 > 0 then 2 + (deadline is not null)::int end as n_blocks, case when id % 7 > 0 and id % 4 > 0 then '附件' || id end as file from named""",
+    dates="published deadline",
+)
+def _(t):
+    from ..sources import adapters
+
+    key = F.col("id").cast("string")
+    day = lambda pattern, c="published": F.date_format(c, pattern)
+    until = F.coalesce(F.concat(F.lit("<p>请于"), day("yyyy年M月d日", "deadline"), F.lit("前反馈。</p>")), F.lit(""))
+    text = F.concat(F.lit("<p>第一段<script>var x = '<p>';</script></p><div><p> 正文\n&amp; "), key, F.lit("</p></div>"), until)
+    file = F.when(F.col("id") % 4 > 0, F.concat(F.lit('<a href="/f/'), key, F.lit('.PDF?v=1">附件'), key, F.lit('</a><a href="/f/other.html">页</a><a href="/f/'), key, F.lit('.PDF?v=1">again</a>'))).otherwise(F.lit(""))
+    moj = F.concat(F.lit("<h1>"), "title", F.lit('</h1><div class="sT">来源 发布时间：'), day("yyyy-MM-dd"), F.lit('</div><div class="news_content_style"><div class="TRS_Editor">'), text, F.lit('</div></div><div id="isShowFile">'), file, F.lit("</div>"))
+    samr = F.concat(F.lit('<head><meta name="PubDate" content="'), day("yyyy-MM-dd"), F.lit(' 10:00"></head><h1>not the title</h1><div class="Three_xilan_07">'), text, F.lit('</div><ul class="contentLeft0102box"></ul><ul class="contentLeft0102box"><li>'), file, F.lit("</li></ul>"))
+    mot = F.concat(F.lit('<h1 class="article-title">'), "title", F.lit('</h1><div class="article-meta"><i class="publish-date">'), day("yyyy-MM-dd"), F.lit('</i></div><div id="Zoom">'), text, file, F.lit("</div>"))
+    html = F.when(F.col("id") % 7 == 0, "<html><body></body></html>").when(F.col("kind") == 0, moj).when(F.col("kind") == 1, samr).otherwise(mot)
+    source = F.get(F.array(*map(F.lit, ("moj", "samr", "mot"))), F.col("kind").cast("int"))
+    pages = _marked(t).select(source.alias("source_id"), F.concat(F.lit("https://example.org/n/"), key, F.lit(".html")).alias("url"), html.alias("html"))
+    found = adapters.details(pages)
+    return found.select("url", "title", "agency", "published", "deadline", F.size(F.split("body", "\n")).alias("n_blocks"), F.get("files.name", 0).alias("file"))
+
+
 @query("s06_hops", "select o_orderkey::varchar as url, (o_orderkey // 16)::varchar as last from orders")
 def _(t):
     hops = t.orders.select(F.col("o_orderkey").cast("string").alias("url"), F.expr("cast(o_orderkey div 2 as string)").alias("next"))

@@ -123,6 +123,10 @@ def list_rows(pages: DataFrame) -> DataFrame:
 
 
 def details(pages: DataFrame) -> DataFrame:
-    """(page_id, title, body, n_blocks); null title and body where a page gave nothing."""
-    text = pages.select("page_id", page_title(F.col("html")).alias("title"), block_text(F.col("html")).alias("body"))
-    return text.select("page_id", "title", F.nullif("body", F.lit("")).alias("body"), F.size(F.split("body", "\n")).alias("n_blocks"))
+    """(page_id, title, body, n_blocks); null title and body where a page gave nothing. A page is parsed once."""
+
+    def run(html: pd.Series) -> pd.DataFrame:
+        found = [read(h) for h in html]
+        return pd.DataFrame({"title": [" ".join((r.title or "").split()) or None for r in found], "body": ["\n".join(r.blocks) or None for r in found], "n_blocks": [max(1, len(r.blocks)) for r in found]})
+
+    return pages.select("page_id", F.pandas_udf(run, "title string, body string, n_blocks int")("html").alias("d")).select("page_id", "d.*")
