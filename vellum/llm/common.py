@@ -29,10 +29,12 @@ def vocabulary(name: str = VOCAB_NAME) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests in local mode), a fresh folder of this machine is set.
+    Where the session names none, a fresh folder of this machine is set in local mode (tests); a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -49,11 +51,11 @@ def small_batches(spark: SparkSession, most: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = work_dir(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

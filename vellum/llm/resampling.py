@@ -1,7 +1,7 @@
 """Importance resampling towards a target corpus, from a sparse document-by-bucket count matrix.
 
-Word runs are hashed into buckets. Each Arrow batch of documents becomes one block of the count matrix
-in compressed sparse rows, and the blocks are written once; everything after reads them. Column sums,
+Word runs are hashed into buckets. Documents in a row become a block of the count matrix in
+compressed sparse rows, of a bounded number of entries, written once; all else reads them. Column sums,
 a vector per task, give the corpus's and the target's bucket distributions; the log ratio of the two
 is a bucket's gain, and the blocks' sparse product with the gains gives the documents' weights. With a
 Gumbel noise that the id decides, the highest sums are a sample without replacement. Scores are put in
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import batches, small_batches, stored
+from .common import small_batches, stored
 
 BUCKETS = 10_000
 RUN = 1
 SEED = 2024
 PERCENT = 10
 LEAST_WORDS = 20
+#: Entries of a block at most (a document's row, and 64 for each row, beyond).
+BLOCK = 32_768
 
 #: On lower-cased UTF-8: digits, letters, and all bytes of characters beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -59,22 +61,32 @@ def count_matrix(docs: DataFrame, run: int = RUN, buckets: int = BUCKETS) -> Dat
     """The documents' counts as blocks of compressed sparse rows, stored: ids, words and rows of a batch each."""
     small_batches(docs.sparkSession)
 
+    names = ["first_row", "doc_id", "n_words", "indptr", "indices", "counts"]
+    types = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def block(first_row: int, ids: list, words: list, indices: list, counts: list):
+        columns = [[first_row], [ids], [words], [np.cumsum([0, *map(len, indices)])], [np.concatenate(indices)], [np.concatenate(counts)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
     def blocks(it):
-        at = TaskContext.get().partitionId() << 40  # rows of a partition are numbered on from here
-        for batch in batches(it):
-            words, indices, counts = zip(*(_row(t.as_py(), run, buckets) for t in batch.column("text"))) if batch.num_rows else ((), (), ())
-            if not words:
-                continue
-            indptr = np.cumsum([0, *map(len, indices)])
-            columns = [[at], [batch.column("doc_id").to_pylist()], [list(words)], [indptr], [np.concatenate(indices)], [np.concatenate(counts)]]
-            types = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["first_row", "doc_id", "n_words", "indptr", "indices", "counts"])
-            at += batch.num_rows
+        at, size = TaskContext.get().partitionId() << 40, 0  # rows of a partition are numbered on from here
+        held: list[list] = [[], [], [], []]
+        for batch in it:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                for column, value in zip(held, (doc_id, *_row(text.as_py(), run, buckets))):
+                    column.append(value)
+                size += len(held[2][-1]) + 64
+                if size >= BLOCK:
+                    yield block(at, *held)
+                    at, size, held = at + len(held[0]), 0, [[], [], [], []]
+        if held[0]:
+            yield block(at, *held)
 
     if "doc_id" not in docs.columns:  # a target corpus needs no ids
         docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stored(rows.mapInArrow(blocks, _BLOCK), "count-matrix")
+    # few blocks a file and a check of sizes at each: readers and writers hold batches of rows, and a block is one
+    return stored(rows.mapInArrow(blocks, _BLOCK), "count-matrix", **{"maxRecordsPerFile": 128, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1})
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
