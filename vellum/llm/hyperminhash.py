@@ -38,7 +38,7 @@ BAND = 4
 #: Standard errors of the estimate below the threshold down to which candidates are verified.
 ERRORS = 5.0
 #: Weight (shingles, and 512 a document) of a chunk of a key that is looked at within one task.
-CHUNK = 4_000_000
+CHUNK = 400_000
 #: Rows from which on a set's component is sent around, and the most such sets, or wanted texts' ids, sent.
 HOT_ROWS, MOST_SENT = 1000, 1_000_000
 
