@@ -42,29 +42,3 @@ def merged_channels(programmatic: Column, model: Column, most: int = MOST) -> Co
 
 def inferred_kind(value: Column) -> Column:
     return F.when(value.rlike("^https?://"), "url").when(value.contains("@"), "email").when(value.rlike(r"^[\d +()-]{7,}$"), "phone").otherwise("address")
-
-
-def neighborhood(text: Column, quote: Column, reach: int = 200) -> Column:
-    """The text around a quote; null where it doesn't stand."""
-    at = F.call_function("locate", quote, text)
-    return F.when(at > 0, F.substr(text, F.greatest(at - reach, F.lit(1)), F.length(quote) + reach + F.least(at - 1, F.lit(reach))))
-
-
-def excerpt(text: Column, anchors: Column, budget: int, reach: int = 120) -> Column:
-    """Windows around the anchors in order of place, cut so that all together stay within the budget.
-
-    Without an anchor it is the text's beginning. Windows that overlap are one.
-    """
-    hits = F.array_sort(F.filter(F.transform(anchors, lambda a: F.call_function("locate", a, text)), lambda p: p > 0))
-    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"))
-
-    def step(s, p):
-        a, b = F.greatest(p - reach, F.lit(1)).cast("int"), (p + reach).cast("int")
-        last = F.try_element_at(s["done"], F.lit(-1))
-        one = F.struct(a.alias("a"), b.alias("b"))
-        joined = F.array_append(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.struct(last["a"].alias("a"), b.alias("b")))
-        return F.struct(F.when(last.isNotNull() & (last["b"] >= a), joined).otherwise(F.array_append(s["done"], one)).alias("done"))
-
-    spans = F.aggregate(hits, start, step, lambda s: s["done"])
-    parts = F.transform(spans, lambda w: F.substr(text, w["a"], w["b"] - w["a"]))
-    return F.substring(F.when(F.size(hits) == 0, text).otherwise(F.array_join(parts, "\n…\n")), 1, budget)

@@ -131,17 +131,6 @@ def change_counts(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(f"(?i){words}")).alias(f"n_{kind}") for kind, words in CHANGE_MARKS.items()]
 
 
-def change_table(rows):
-    """(id, pos, kind, sentence): a row per sentence that a mark of change stands in; headings are no rows."""
-    from .text import sentences
-
-    s = rows.select("id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).where(~F.col("sentence").rlike(r"^(一|二|三|四|五|六|七|八|九|十|\d)+[、.]\s*\S{0,12}$"))
-    kind = None
-    for name, words in CHANGE_MARKS.items():
-        kind = F.when(F.col("sentence").rlike(f"(?i){words}"), name) if kind is None else kind.when(F.col("sentence").rlike(f"(?i){words}"), name)
-    return s.withColumn("kind", kind).where("kind is not null").select("id", "pos", "kind", "sentence")
-
-
 def error_kind(message: Column) -> Column:
     """What went wrong with a supplier: quota and time run out break the supply, others don't."""
     return F.when(message.rlike(r"(?i)quota|insufficient|balance|429|rate.?limit"), "quota").when(message.rlike(r"(?i)time.?out|timed out|ETIMEDOUT|aborted"), "timeout").otherwise("other")

@@ -143,9 +143,24 @@ def _(t):
     return t.notices.select("id", *s.change_counts(F.concat_ws(" ", *parts)))
 
 
-@query("t06_change_table")
+@query(
+    "t06_change_table",
+    """with n as (select id, body, (id % 9 + 1)::int as a, (id % 5 + 1)::int as b from notices),
+ r as (select id, 0 as pos, case when id % 2 = 0 then 'described' else 'fact' end as type, case when id % 2 = 0 then 0 end as change, case when id % 2 = 1 then '第' || a || '条' end as clause, case when id % 2 = 1 then ['modified'] end as kinds, case when id % 2 = 1 then ['修改'] end as marks, '（一）第' || a || '条修改为“' || body || '”。' as sentence from n
+ union all select id, 1, 'fact', null, '第二条第一款', ['removed'], ['删除'], '（二）删除第二条第一款。' from n
+ union all select id, 2, 'fact', null, '第' || b || '条', ['added', 'modified'], ['增加', '调整'], '增加一款并调整顺序，作为第' || b || '条' from n
+ union all select id, 3, 'described', 0, null, null, null, null from n where id % 2 = 1
+ union all select id, 3 + (id % 2)::int, 'described', 1, null, null, null, null from n)
+ select id, pos, type, change, clause, kinds, marks, sentence from r""",
+)
 def _(t):
-    return s.change_table(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    from ..operators.change_table import change_table
+
+    numbered = lambda k: ((F.col("id") % k + 1).cast("int")).cast("string")
+    first = F.concat(F.lit("（一）第"), numbered(9), F.lit("条修改为“"), "body", F.lit("”。"))
+    text = F.concat(F.lit("一、对部分条文作以下修改：\n"), first, F.lit("\n（二）删除第二条第一款。普通的一句。\n增加一款并调整顺序，作为第"), numbered(5), F.lit("条"))
+    quote = F.when(F.col("id") % 2 == 0, F.concat(F.lit("修改为\u3000\""), F.replace("body", F.lit(" "), F.lit("\n  ")), F.lit('"')))
+    return change_table(t.notices.select("id", text.alias("text"), F.array(quote, F.lit("不在文中的一段引文，足够长")).alias("quotes")))
 
 
 @query("u04_merged_channels", "select id, case when agency = agencies[1] then [agency, status] else [] end as merged from notices")

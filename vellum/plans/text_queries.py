@@ -123,11 +123,31 @@ def _(t):
     return ch.channels(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("f40_neighborhood", "select doc_id, substr(text, greatest(500 - 200, 1), 10 + 400) as around from documents where length(text) > 800 and strpos(text, substr(text, 500, 10)) = 500")
+@query(
+    "f40_neighborhood",
+    r"""with d as (select doc_id, text, trim(regexp_replace(substr(text, 500, 40), '\s+', ' ', 'g')) as piece from documents where length(text) > 800),
+ q as (select doc_id, text, piece, strpos(text, piece) as place from d where not contains(text, '"') and not regexp_matches(piece, '[.]{3}|…') and length(replace(piece, ' ', '')) >= 8 and strpos(regexp_replace(text, '\s+', '', 'g'), replace(piece, ' ', '')) = length(regexp_replace(substr(text, 1, strpos(text, piece) - 1), '\s+', '', 'g')) + 1 and strpos(text, piece) > 0)
+ select doc_id, substr(text, greatest(place - 50, 1), place - greatest(place - 50, 1) + length(piece) + 50) as around from q""",
+)
 def _(t):
-    piece = F.substring("text", 500, 10)
-    at = t.documents.where((F.length("text") > 800) & (F.call_function("locate", piece, F.col("text")) == 500))
-    return at.select("doc_id", ch.neighborhood(F.col("text"), piece).alias("around"))
+    """Quotations with other white space and marks than their text has."""
+    from ..functions.positions import neighborhood
+
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    piece = F.trim(F.regexp_replace(F.substring("text", 500, 40), r"\s+", " "))
+    d = t.documents.where("length(text) > 800").withColumn("piece", piece).withColumn("at", F.call_function("locate", "piece", "text"))
+    d = d.where(~F.contains("text", F.lit('"')) & ~F.col("piece").rlike(r"[.]{3}|…") & (F.length(bare("piece")) >= 8) & (F.col("at") > 0))
+    d = d.where(F.call_function("locate", bare("piece"), bare("text")) == F.length(bare(F.substr("text", F.lit(1), F.col("at") - 1))) + 1)
+    quote = F.concat(F.lit("“"), F.replace("piece", F.lit(" "), F.lit(" \u3000\n")), F.lit("」"))
+    return d.select("doc_id", neighborhood(F.col("text"), quote, 50).alias("around"))
+
+
+@query("f25_excerpt", "select doc_id, length(text) > 600 as cut, case when length(text) <= 600 then text end as whole from documents")
+def _(t):
+    from ..functions.excerpts import excerpt
+
+    made = t.documents.select("doc_id", F.length("text").alias("n"), excerpt(F.col("text"), ("licens", "version", "the ", " de "), 600, 60).alias("e"))
+    return made.select("doc_id", ((F.col("n") > 600) & (F.length("e") <= 600)).alias("cut"), F.when(F.col("n") <= 600, F.col("e")).alias("whole"))
 
 
 @query("f41_alternate_hosts")
