@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_queries, join_queries, report_queries, sink_queries, state_queries, summary_queries, text_queries  # noqa: F401  they register themselves
+from . import audit_queries, filter_queries, join_queries, report_queries, sink_queries, state_queries, summary_queries, text_queries  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
