@@ -76,3 +76,60 @@ def test_long_texts_and_long_licence_documents(spark):
     got = {r.id: r for r in licenses.license_scan(licenses.document_files(docs)).collect()}
     assert got[1].own_license == "Apache-2.0" and (got[17].license, got[17].basis) == ("Apache-2.0", "inherited")
     assert got[2].basis == got[3].basis == "none"
+
+
+def by_brute_force(text):
+    """(score, license) of a text's best line or run of terms, every run tried."""
+    import math
+    import re
+    from collections import Counter
+
+    weight, unknown = licenses.inverse_frequencies()
+    vectors = {}
+    for k, name, term, w in licenses.template_vectors():
+        vectors.setdefault((k, name), {})[term] = w
+    cosine = lambda own, v: round(sum(n * weight.get(t, unknown) * v.get(t, 0) for t, n in own.items()) / math.sqrt(sum((n * weight.get(t, unknown)) ** 2 for t, n in own.items())), 6)
+    best = (0, None)
+
+    def take(score, name):
+        nonlocal best
+        if score >= licenses.LEAST and (-score, name) < (-best[0], best[1] or "~"):
+            best = score, name
+
+    if not re.search(licenses.CUE, text or ""):
+        return best
+    for line in text.split("\n"):
+        if re.search(licenses.CUE, line) and (own := Counter(licenses.terms(line))):
+            for (_, name), v in vectors.items():
+                take(cosine(own, v), name)
+    found = licenses.terms(text)
+    longest = max(len(licenses.terms(t)) for _, t in licenses.TEMPLATES)
+    cues = [k for k, t in enumerate(found) if re.search(licenses.CUE_TERM, t)]
+    near = {p for k in cues for p in range(max(0, k - longest + 1), min(len(found), k + longest))}
+    for (k, name), v in vectors.items():
+        size = len(licenses.terms(licenses.TEMPLATES[k][1]))
+        for start in near:
+            if found[start] in v:
+                own = Counter(found[p] for p in range(start, min(start + size, len(found))) if p in near)
+                take(cosine(own, v), name)
+    return best
+
+
+def test_runs_against_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    filler = "the parser reads every file that it is given and writes permission rights software license to".split()
+    texts = []
+    for k in range(24):
+        name, template = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        words = licenses.terms(template)
+        cut = words[r.randrange(max(1, len(words) // 6)) :]
+        for _ in range(r.randrange(len(cut) // 4 + 1)):
+            cut[r.randrange(len(cut))] = r.choice(filler)
+        around = lambda: [r.choice(filler) for _ in range(r.randrange(30))]
+        parts = around() + cut + around() + (words if r.random() < 0.2 else [])
+        texts.append("".join(w + r.choice([" ", " ", " ", "\n// "]) for w in parts))
+    got = scan(spark, [(k, f"f{k}", t, 0) for k, t in enumerate(texts)])
+    assert [(round(got[k].score or 0, 5), got[k].own_license) for k in range(len(texts))] == [(round(s, 5), n) for s, n in map(by_brute_force, texts)]
+    assert 5 < sum(got[k].own_license is not None for k in range(len(texts)))

@@ -70,13 +70,15 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     weights = F.broadcast(spark.createDataFrame(list(weight.items()), "term string, idf double"))  # fixed size
     vectors = F.broadcast(spark.createDataFrame(template_vectors(), "template int, license string, term string, w double"))  # fixed size
     lines = files.where(F.col("text").rlike(CUE)).select("path", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.col("line").rlike(CUE)).groupBy("path", "line").agg(F.lit(1).alias("one"))
-    counts = lines.select("path", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("path", "line", "term").count()
-    weighted = counts.join(weights, "term", "left").select("path", "line", "term", (F.col("count") * F.coalesce("idf", F.lit(unknown))).alias("x"))
+    # a line goes by its hash from here on: it may be as long as a text, and has a row for each of its terms
+    found = F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))
+    lines = lines.where(F.col("line").rlike(CUE)).groupBy("path", F.xxhash64("line").alias("of")).agg(F.first(found).alias("terms"))
+    counts = lines.select("path", "of", F.explode("terms").alias("term")).groupBy("path", "of", "term").count()
+    weighted = counts.join(weights, "term", "left").select("path", "of", "term", (F.col("count") * F.coalesce("idf", F.lit(unknown))).alias("x"))
     weighted = stored(weighted, "licence-terms")  # of passages only; used twice
-    norms = weighted.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighted.join(vectors, "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scores = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    norms = weighted.groupBy("path", "of").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighted.join(vectors, "term").groupBy("path", "of", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scores = dots.join(norms, ["path", "of"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     scores = scores.unionByName(_run_scores(files.where(F.col("text").rlike(CUE)), weights, vectors, unknown, least))
     return scores.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("best")).select("path", "best.license", (-F.col("best.worse")).alias("score"))
 
@@ -101,7 +103,10 @@ def _run_scores(files: DataFrame, weights: DataFrame, vectors: DataFrame, unknow
     run = Window.partitionBy("path", "of", "template").orderBy(F.expr("pos * 1000000L div length")).rangeBetween(0, 1_000_000 - 500_000 // longest)  # ``length`` places
     bound = hits.withColumn("dot", F.sum(F.col("idf") * F.col("w")).over(run)).withColumn("square", F.sum(F.col("idf") * F.col("idf")).over(run))
     starts = bound.where(F.col("dot") >= (least - 1e-6) * F.sqrt("square")).select("path", "of", "template", "license", F.col("pos").alias("start"), "length")
-    inside = starts.join(places, ["path", "of"]).where("pos >= start and pos < start + length")
+    # a run lies in two blocks of places at most, so it meets only so many places, however long its text is
+    block = lambda pos: F.expr(f"{pos} div {longest}")
+    spread = starts.withColumn("block", F.explode(F.array_distinct(F.array(block("start"), block("(start + length - 1)")))))
+    inside = spread.join(places.withColumn("block", block("pos")), ["path", "of", "block"]).where("pos >= start and pos < start + length")
     counted = inside.groupBy("path", "of", "template", "license", "start", "term", "idf").agg(F.count("*").alias("n")).join(vectors.select("template", "term", "w"), ["template", "term"], "left")
     x = F.col("n") * F.col("idf")
     scored = counted.groupBy("path", "of", "template", "license", "start").agg((F.sum(x * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(x * x))).alias("cosine"))
