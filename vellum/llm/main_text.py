@@ -4,8 +4,10 @@ The standard library's parser is fed a page in pieces; its events become blocks
 page without its markup), each with its text, its count of tags and the elements it stands in.
 A block's ratio is its text's length per tag; blocks inside menus, forms, adverts and the like have
 none, and such elements within a line are left out of its text. Elements are known by their tags and by
-names in class, id and role; a name says nothing of an element that holds most of the page's text, which
-is known only after parsing: such a page is parsed again with those elements' names disregarded. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
+names in class, id and role; a name says nothing of an element that holds most of the page's text, nor one
+that may be a subject's (related-work, share-price, discussion) of a part of the content region whose text
+is of the high cluster. Both are known only after parsing: such a page is parsed again with those
+elements' names disregarded. The ratios are smoothed by a Gaussian along the page and cut in two by threshold clustering.
 The content region is then made whole: an article or main that holds nearly all of the high cluster's
 text is taken, else the innermost sectioning element that does, widened to the outermost one around it
 that adds no part of the page's frame (menu, header, footer, sidebar). All its blocks that are not
@@ -56,6 +58,12 @@ LINKED = 0.7
 TALK = frozenset("comment comments discussion disqus replies reply responses".split())
 #: Share of the page's text from which on a name doesn't exclude an element.
 WRAPS = 0.5
+#: Shares of a part's text in the high cluster, at least, and in links, at most, for its ratio to say that it is content.
+OF_HIGH, OF_LINKS = 0.5, 0.3
+#: Words that add nothing to a mark in a name; any other makes it the name of a subject (related-work, share-price).
+PLAIN = frozenset("area article articles bar block body bottom box btn button buttons col container content count for global group head heading icon icons inner item items label left lg link links list main md module more navbar nested outer page panel popular post posts primary recent region right row secondary section share sidebar site small sm stories story the thread title top widget wrap wrapper".split())
+#: Marks that are headings of articles as well, alone too.
+ALSO_HEADINGS = frozenset(("discussion",))
 _NAME = re.compile(r"[a-z]+")
 #: What a name has or lacks says nothing of the element itself: has-sidebar, page-with-comments, no-ads.
 _MODIFIED = re.compile(r"(?:(?<=\s)|^|(?<=[-_]))(?:has|with|without|no)[-_]\S*")
@@ -98,6 +106,17 @@ def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
     return names & MARKS
 
 
+def _of_subject(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether every name with a mark may as well be that of a subject, so that the ratio must decide."""
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for one in _MODIFIED.sub(" ", value.lower()).split():
+                words = _NAME.findall(one)
+                if (marked := MARKS.intersection(words)) and not marked <= ALSO_HEADINGS and all(w in PLAIN or w in MARKS or len(w) < 3 for w in words):
+                    return False
+    return True
+
+
 def _header_of(attrs: list[tuple[str, str | None]], pattern: re.Pattern) -> bool:
     return any(name in ("class", "id") and value and pattern.search(value.lower()) for name, value in attrs)
 
@@ -107,18 +126,19 @@ def _framed(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class BlockParser(HTMLParser):
-    """Collects blocks: (text, tags, ids of the open elements, excluded, links if it is a line of links, inside the page's frame, excluded by a tag)."""
+    """Collects blocks: (text, tags, ids of the open elements, excluded, links if it is a line of links, inside the page's frame, excluded by a tag, characters in links)."""
 
     def __init__(self, wraps: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.wraps = wraps  # ids of elements whose names are disregarded
         self.marks: dict[int, set[str]] = {}  # of elements that their names exclude
+        self.subjects: set[int] = set()  # of these, the ones that may be content by their names
         self.stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = []  # tag, id, excluded, header of an article, link, frame, excluded by a tag
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int, bool, bool]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int, bool, bool, int]] = []
         self.names: dict[int, str] = {}
         self.parts: list[str] = []
         self.dropped: list[str] = []  # the block's pieces in excluded elements
-        self.tags = self.n = self.links = self.linked = 0
+        self.tags = self.n = self.links = self.linked = self.dropped_linked = 0
 
     def flush(self) -> None:
         if self.parts or self.dropped:
@@ -129,9 +149,9 @@ class BlockParser(HTMLParser):
             if text:
                 links = self.links if self.linked >= LINKED * len(text) and not excluded else 0
                 frame, by_tag = self.stack[-1][5:] if excluded and self.stack else (False, False)
-                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded, links, frame, by_tag))
+                self.blocks.append((text, max(1, self.tags), tuple(s[1] for s in self.stack), excluded, links, frame, by_tag, self.dropped_linked if excluded else self.linked))
             self.parts, self.dropped = [], []
-            self.tags = self.links = self.linked = 0
+            self.tags = self.links = self.linked = self.dropped_linked = 0
 
     def _excluded(self) -> bool:
         if not self.stack:
@@ -180,6 +200,8 @@ class BlockParser(HTMLParser):
             in_header, marks = True, set()
         if marks:
             self.marks[self.n] = marks
+            if not by_tag and _of_subject(attrs):
+                self.subjects.add(self.n)
         excluded = by_tag or bool(marks) or bool(self.stack and self.stack[-1][2])
         if tag in BLOCKS:
             self.names[self.n] = tag
@@ -212,6 +234,8 @@ class BlockParser(HTMLParser):
     def handle_data(self, data):
         if self._excluded():
             self.dropped.append(data)
+            if self.stack and self.stack[-1][4]:
+                self.dropped_linked += len(data)
             return
         self.parts.append(data)
         if self.stack and self.stack[-1][4]:
@@ -276,14 +300,42 @@ def _wrappers(parser: BlockParser) -> frozenset[int]:
             for element in b[2]:
                 if element in mass:
                     mass[element] += len(b[0])
+    content = _content_by_ratio(parser, high)
     found = {e for e, m in mass.items() if m and m >= WRAPS * total}
     if not found:
-        return frozenset()
+        return frozenset(content)
     own = ("article", "main", "h1")
     places = [(b[2], {parser.names[e] for e in b[2] if parser.names.get(e) in own and e not in parser.marks}) for b in blocks]
     outside = [set(path) for path, kinds in places if kinds & {"article", "main"} and parser.marks.keys().isdisjoint(path)]
     inside = {e for path, kinds in places if kinds for e in path}
-    return frozenset(e for e in found if all(e in path for path in outside) and (e in inside or parser.marks[e].isdisjoint(TALK)))
+    return frozenset(e for e in found if e in content or all(e in path for path in outside) and (e in inside or parser.marks[e].isdisjoint(TALK))) | content
+
+
+def _content_by_ratio(parser: BlockParser, high: np.ndarray) -> set[int]:
+    """Parts of the content region that a name alone excludes, a subject's by its words, though their text is of the high cluster.
+
+    The region is the innermost element that holds nearly all of that cluster, names left aside. Parts that
+    hold others marked as readers' contributions are such contributions.
+    """
+    if not parser.subjects:
+        return set()
+    text, of_high, links, region, total, path_of = {}, {}, {}, {}, 0, {}
+    for b, is_high in zip(parser.blocks, high):
+        if b[6]:
+            continue
+        n = len(b[0])
+        total += n * bool(is_high)
+        for k, e in enumerate(b[2]):
+            if e in parser.subjects:
+                text[e], of_high[e], links[e] = text.get(e, 0) + n, of_high.get(e, 0) + n * bool(is_high), links.get(e, 0) + b[7]
+                path_of.setdefault(e, b[2][:k])
+            if parser.names.get(e) in _HOLDERS:
+                region[e] = region.get(e, 0) + n * bool(is_high)
+    inner = max((e for e, m in region.items() if m >= MOST * total), default=None)
+    talk = {e for e, marks in parser.marks.items() if not marks.isdisjoint(TALK)}
+    told = {e for b in parser.blocks for e in parser.subjects.intersection(b[2]) if talk.intersection(b[2][b[2].index(e) + 1 :])}
+    inside = lambda e: inner in path_of[e] or any(parser.names.get(x) in ("article", "main") and x not in parser.marks for x in path_of[e])
+    return {e for e in text if e not in told and inside(e) and of_high[e] >= OF_HIGH * text[e] and links[e] <= OF_LINKS * text[e]}
 
 
 def main_text(html: str | None) -> str:
