@@ -1,64 +1,12 @@
-"""Classification of notices by ordered rules: tags, genre, audience, title keys."""
+"""Keys of titles, roles of attachments, names of agencies; domains, genres and audiences are in ``rulebook``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-# Words that mark a domain, in two languages, and contexts in which they don't count.
-DOMAINS = {
-    "finance": ("金融|银行|证券|保险", "bank|insurance|securities|finance"),
-    "health": ("医疗|药品|卫生|健康", "health|medical|drug"),
-    "environment": ("环境|生态|污染|排放", "environment|emission|pollution"),
-    "transport": ("交通|运输|公路|铁路", "transport|railway|road"),
-    "education": ("教育|学校|教师", "education|school|teacher"),
-    "data": ("数据|网络安全|个人信息|人工智能", "data|privacy|network security"),
-}
-EXCLUDED = "环境卫生间|健康码截图"
-LISTED_LINES = r"(?m)^\s*(附件|联系人|联系电话|电子邮箱|地址|传真)[:：].*$"
-
-# Genres by title, then by attachment names, then by text.
-GENRES = (
-    ("result", "title", "结果|采纳情况|result|outcome"),
-    ("list", "title", "名单|公示|清单|list of"),
-    ("draft", "title", "征求意见|公开征求|draft|consultation"),
-    ("draft", "attachment", "征求意见稿|草案|draft"),
-    ("draft", "text", "现向社会公开征求意见|comments are invited"),
-)
-
-# Who a notice is for; the first pattern that fits decides.
-AUDIENCES = (
-    ("sector", "有关单位|各企业|相关企业|行业协会|enterprises|industry"),
-    ("sector", "从业人员|持证人|licensees|practitioners"),
-    ("public", "社会公众|广大群众|消费者|the public|citizens|consumers"),
-)
-
 ROUND_MARKS = r"(第?[一二三四五六七八九十\d]+次)?(征求意见稿|公开征求意见|修订草案|草案|修订稿|二次审议稿|三次审议稿|送审稿)$"
 
 
-def tags_of(title: Column, body: Column) -> Column:
-    text = F.regexp_replace(F.concat_ws("\n", title, F.regexp_replace(body, LISTED_LINES, "")), EXCLUDED, "")
-    pairs = [F.when(F.lower(text).rlike("|".join(words)), F.lit(tag)) for tag, words in DOMAINS.items()]
-    return F.array_compact(F.array(*pairs))
-
-
-def genre_of(title: Column, attachments: Column, text: Column) -> Column:
-    """(genre, basis, evidence); what nothing marks is ``unknown``."""
-    where = {"title": F.lower(title), "attachment": F.lower(F.concat_ws("\n", attachments)), "text": F.lower(text)}
-    out = None
-    for genre, basis, pattern in GENRES:
-        hit = F.regexp_extract(where[basis], f"({pattern})", 1)
-        value = F.struct(F.lit(genre).alias("genre"), F.lit(basis).alias("basis"), hit.alias("evidence"))
-        out = F.when(hit != "", value) if out is None else out.when(hit != "", value)
-    return out.otherwise(F.struct(F.lit("unknown").alias("genre"), F.lit("none").alias("basis"), F.lit("").alias("evidence")))
-
-
-def audience_of(text: Column, by_source: Column | None = None) -> Column:
-    rules = reduce(lambda w, r: w.when(F.lower(text).rlike(r[1]), r[0]), AUDIENCES[1:], F.when(F.lower(text).rlike(AUDIENCES[0][1]), AUDIENCES[0][0]))
-    return F.coalesce(*([by_source] if by_source is not None else []), rules, F.lit("unknown"))
-
-
 def title_key(title: Column, least: int = 4, passes: int = 8) -> Column:
     """The key of a title's versions: its longest quoted part, without marks of rounds, letters and digits only."""
     quoted = F.array_sort(F.regexp_extract_all(title, F.lit("《([^》]+)》"), F.lit(1)), lambda a, b: F.when(F.length(a) == F.length(b), 0).when(F.length(a) > F.length(b), -1).otherwise(1))

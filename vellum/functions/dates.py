@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 ZONE = "Asia/Shanghai"
+# How dates are written.
 NUMERIC_DATE = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
 CHINESE_DATE = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
 
@@ -41,11 +42,9 @@ def day_of_millis(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
 
 
-def last_months(as_of: str, n: int) -> list[str]:
-    """The n months up to that of ``as_of``, oldest first."""
-    year, month = map(int, as_of.split("-")[:2])
-    first = year * 12 + month - n
-    return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(first, first + n)]
+def last_months(day: Column, n: int) -> Column:
+    """The n months up to a day's own, oldest first."""
+    return F.transform(F.sequence(F.lit(1 - n), F.lit(0)), lambda k: F.date_format(F.add_months(day, k), "yyyy-MM"))
 
 
 def period_bucket(published: Column, deadline: Column) -> Column:

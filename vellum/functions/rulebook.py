@@ -20,6 +20,16 @@ DOMAIN_WORDS = {
     "数据与网络安全": "数据 网络安全 数据安全 个人信息 互联网 信息化 数字化 电子商务 算法 电信 无线电",
 }
 
+# Contexts in which a word doesn't count, and lines that tell of no subject: organisations in a list, contacts.
+NOT_COUNTED = {"数据": "数据库", "信息化": "工业和信息化"}
+ORGANISATIONS = "中国|国家|国际|部|委|局|厅|署|办|司|院|所|中心|站|集团|公司|协会|学会|联合会|大学|学院|基地|银行|委员会|研究所|研究院|编辑部|出版社|学校|医院|实验室|分会|企业"
+LIST_LINE = rf"[^\S\n]*\d+[.．、](?=[^\n]*(?:{ORGANISATIONS}))[^\S\n]*[^。，、；：！？《》（）\n]{{2,40}}"
+CONTACT_LINE = r"[^\S\n]*(?:地址|通讯地址|邮寄地址|联系地址|邮编|邮政编码)[^\S\n]*[：:][^\n]*"
+
+# Notices whose audience is known by hand, by the beginnings of their ids, and the source that is for all.
+OVERRIDES = {"954dcc17": "public", "61323da4": "sector", "c81057ef": "sector"}
+PUBLIC_SOURCES = ("npc",)
+
 # Patterns of titles that tell whom a notice is for; the first that fits decides.
 AUDIENCE_RULES = (
     ("public", "law", r"中华人民共和国[^（(）)]{0,20}法\s*[（(][^）)]{0,20}(草案|征求意见稿)|(?<![办方做想用说合])法\s*[（(][^）)]{0,20}草案|条例\s*[（(][^）)]{0,20}(草案|征求意见稿)|国务院关于[^《》]{0,40}的规定"),
@@ -43,7 +53,7 @@ DRAFT_TITLE = r"草案|征求意见稿|办法|规定|规则|规程|导则|规范
 GROUNDS = ("none", "title", "attachment_names", "attachment_text")
 
 
-def domain_tags(title: Column, body: Column, dropped_lines: str | None = None, not_counted: dict[str, str] | None = None) -> Column:
+def domain_tags(title: Column, body: Column, dropped_lines: str | None = f"{LIST_LINE}|{CONTACT_LINE}", not_counted: dict[str, str] | None = NOT_COUNTED) -> Column:
     """Domains whose words title or body hold, in the table's order.
 
     ``dropped_lines`` (a pattern of whole lines) go before the body is searched; ``not_counted`` maps
@@ -65,10 +75,10 @@ def domain_tags(title: Column, body: Column, dropped_lines: str | None = None, n
     return F.array_compact(F.array(*found))
 
 
-def audience_decision(title: Column, source: Column, overrides: dict[str, str] | None = None, key: Column | None = None, public_sources: tuple[str, ...] = ()) -> Column:
+def audience_decision(title: Column, source: Column, overrides: dict[str, str] | None = OVERRIDES, key: Column | None = None, public_sources: tuple = PUBLIC_SOURCES) -> Column:
     """(audience, grounds): by hand for keys with a known beginning, by source, by the title's first pattern, else unknown."""
     title = F.coalesce(title, F.lit(""))
-    cases = [(F.startswith(key, F.lit(start)), F.lit(audience), F.lit("override")) for start, audience in (overrides or {}).items()]
+    cases = [(F.startswith(key, F.lit(start)), F.lit(audience), F.lit("override")) for start, audience in (overrides or {}).items() if key is not None]
     if public_sources:
         cases.append((source.isin(*public_sources), F.lit("public"), F.lit("source")))
     for audience, name, pattern in AUDIENCE_RULES:

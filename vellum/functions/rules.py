@@ -28,17 +28,6 @@ def listed(raw: Column, allowed: list[str]) -> Column:
     return F.array_distinct(F.filter(raw, lambda v: v.isin(allowed)))
 
 
-def int_setting(settings: dict[str, str], name: str, default: int, low: int, high: int) -> int:
-    """A whole number from settings; blank means the default, anything else outside the range is an error."""
-    raw = settings.get(name, "").strip()
-    if not raw:
-        return default
-    value = int(raw) if raw.lstrip("-").isdigit() else None
-    if value is None or not low <= value <= high:
-        raise ValueError(f"{name} must be a whole number from {low} to {high}")
-    return value
-
-
 def looks_like_draft(body: Column) -> Column:
     """Whether a body is itself the draft: long enough and divided into articles."""
     return (cjk_count(body) >= DRAFT_CJK) & (anchor_count(body) >= DRAFT_ANCHORS)
@@ -82,3 +71,13 @@ def summary_after(outcome: Column, old: Column, new: Column) -> tuple[Column, Co
     summary = F.when(outcome == "saved", new).when(outcome == "cleared", F.lit(None).cast("string")).otherwise(old)
     status = F.when(outcome == "saved", "done").when(outcome == "failed_review", "failed_review").when(outcome.isin("cleared", "reset"), "pending")
     return summary, status
+
+
+def backoff(attempt: Column, base: int = 2, most: int = 60) -> Column:
+    """Seconds to wait before another attempt: twice as long each time, up to a bound."""
+    return F.least(F.lit(base).cast("long") * F.pow(F.lit(2), attempt).cast("long"), F.lit(most).cast("long"))
+
+
+def seeded_failures(unhealthy: Column, alert_at: int = 2) -> Column:
+    """The run of failures that a source starts with after a restart: one short of an alert, if it was unhealthy."""
+    return F.when(F.coalesce(unhealthy, F.lit(False)), alert_at - 1).otherwise(0)

@@ -95,3 +95,11 @@ def candidates(file: Column, page: Column, least: int = 3) -> Column:
     other = F.concat(origin(page), path)
     apart = (F.lower(origin(file)) != F.lower(origin(page))) & (_common_labels(host(file), host(page)) >= least) & (other != file)
     return F.when(F.coalesce(apart, F.lit(False)), F.array(file, other)).otherwise(F.array(file))
+
+
+def host_sites(hosts):
+    """(host, first, n): hosts that others share their last three labels with, beside the first of these and their number."""
+    site = F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, 3), ".")
+    keyed = hosts.where(F.size(F.split("host", r"\.")) >= 3).select("host", site.alias("site"))
+    sites = keyed.groupBy("site").agg(F.min("host").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(sites, "site").select("host", "first", "n")

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Ranks of evidence for a genre decision; the stronger wins, and of equals the new one.
-EVIDENCE = ("none", "text", "attachment", "title", "list", "manual")
-
-
-def evidence_rank(basis: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*[F.lit(b) for b in EVIDENCE]), basis).cast("int"), F.lit(0))
-
+from ..functions.rulebook import grounds_rank
 
 def wins(new_basis: Column, old_basis: Column) -> Column:
-    return evidence_rank(new_basis) >= evidence_rank(old_basis)
+    """Whether a new genre decision replaces an old one: its grounds are as strong, or there is no old one."""
+    return old_basis.isNull() | (grounds_rank(new_basis) >= grounds_rank(old_basis))
 
 
 def latest_per_key(incoming: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import searchable
 from ..operators import filters as f, ordering as o
 from .registry import query
 from .views import NOW, TODAY
@@ -42,10 +43,10 @@ _simple("p09_recent", lambda: f.seen_since(NOW, 7), f"first_seen >= timestamp '{
 _simple("p10_period_le7", lambda: f.in_period_bucket("le7"), "deadline - published <= 7")
 _simple("p10_period_d8_15", lambda: f.in_period_bucket("d8_15"), "deadline - published between 8 and 15")
 _simple("p10_period_gt30", lambda: f.in_period_bucket("gt30"), "deadline - published > 30")
-_simple("p14_review_queue", lambda: F.col("summary_status") == "failed_review", "summary_status = 'failed_review'")
+query("p14_review_queue", "select id, status, deadline from notices where summary_status = 'failed_review'", dates="deadline")(lambda t: f.review_queue(t.notices).select(*COLS))
 _simple("p18_first_seen_since", lambda: F.col("first_seen") >= F.lit("1998-01-01").cast("timestamp_ntz"), "first_seen >= timestamp '1998-01-01'")
 _simple("f50_new", lambda: f.is_new(F.col("first_seen"), NOW), f"first_seen > timestamp '{NOW}' - interval 7 day")
-_simple("p31_searchable", lambda: F.col("title").rlike(r"[\p{L}\p{N}]"), r"regexp_matches(title, '[\p{L}\p{N}]')")
+query("p31_searchable", r"select page_id, regexp_matches(case page_id % 3 when 0 then url when 1 then '!? —' else '' end, '[\p{L}\p{N}]') as ok from pages")(lambda t: t.pages.select("page_id", searchable(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "!? —").otherwise("")).alias("ok")))
 
 
 @query("p11_effective_status", f"select id, case when status = 'open' and deadline < date '{TODAY}' then 'closed' else status end as effective from notices")

@@ -181,7 +181,8 @@ def _(t):
 def _(t):
     subs = t.subscriptions.where("confirmed_at is not null and unsubscribed_at is null and scope = 'all'").select(F.col("id").alias("subscription_id"))
     open_ = t.notices.where("status = 'open' and deadline is not null").where(F.col("deadline").between(F.lit(TODAY).cast("date"), F.date_add(F.lit(TODAY).cast("date"), 7))).select(F.col("id").alias("notice_id"), "deadline")
-    pairs = open_.join(subs)  # every subscriber to all, with the few notices due
+    every = lambda df: df.withColumn("key", F.lit(0))
+    pairs = m.beside_few(every(open_), every(subs), "key").drop("key")  # every subscriber to all, with the few notices due
     sent = pairs.where("notice_id % 2 = 0").select("subscription_id", "notice_id", F.lit("d7").alias("stage"))
     return m.due_stages(pairs, sent, TODAY)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.dates import last_months
 from ..operators import aggregates as a, windows as w
 from .registry import query
 
@@ -21,7 +20,7 @@ def _(t):
     return a.agency_months(t.notices)
 
 
-_MONTHS = last_months("1998-06-01", 6)
+_MONTHS = [f"1998-{month:02d}" for month in range(1, 7)]
 _CELLS = ", ".join(f"count(*) filter (where strftime(published, '%Y-%m') = '{m}') as m_{m.replace('-', '_')}" for m in _MONTHS)
 
 
@@ -146,9 +145,9 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
-@query("a23_degraded", "select user_id, count(*) as listed, count(*) filter (where event_type = 'error') as failed from events group by 1 having count(*) >= 3 and count(*) filter (where event_type = 'error') * 2 >= count(*)")
+@query("a23_degraded", "select user_id, ts::date::varchar as day, count(*) as listed, count(*) filter (where event_type = 'error') as failed from events group by 1, 2 having count(*) >= 3 and count(*) filter (where event_type = 'error') * 2 >= count(*)")
 def _(t):
-    per = t.events.groupBy("user_id").agg(F.count("*").alias("listed"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    per = t.events.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("listed"), F.count_if(F.col("event_type") == "error").alias("failed"))
     return per.where(a.is_degraded(F.col("listed"), F.col("failed")))
 
 

@@ -162,9 +162,21 @@ def _(t):
     return g.entries_by_hand(entries).select("id", "title", "published", "deadline", "problem")
 
 
-@query("f18_domains", f"select id, list_filter([{', '.join(f'''case when regexp_matches(title, '{words.replace(' ', '|')}') then '{domain}' end''' for domain, words in rulebook.DOMAIN_WORDS.items())}], lambda x: x is not null) as tags from (select o_orderkey as id, {_SQL_TITLE} as title from orders)")
+# What the titles and bodies below say, read by hand.
+_TITLE_TAGS = (("数据与网络安全",), ("立法与司法", "交通运输"), (), (), ("立法与司法", "医疗卫生"), (), ("交通运输",), (), ("数据与网络安全",))
+_BODIES = (None, "征求意见单位：\n5.国家能源局综合司\n9.中国电力企业联合会\n地址：北京市海淀区永丰产业基地", "建设法律数据库", "征求工业和信息化部意见", "1.加强源头防控，推进能源结构调整\n2.推进煤炭清洁利用", "处理个人信息", "附件：9.《固体废物 石油烃的测定》编制说明")
+_BODY_TAGS = ((), (), (), (), ("经济与产业",), ("数据与网络安全",), ("经济与产业", "生态环境"))
+
+
+@query(
+    "f18_domains",
+    "select o_orderkey as id, list_filter(["
+    + ", ".join(f"case when (o_orderkey % 9) in ({', '.join(str(k) for k, tags in enumerate(_TITLE_TAGS) if d in tags) or -1}) or (o_orderkey % 7) in ({', '.join(str(k) for k, tags in enumerate(_BODY_TAGS) if d in tags) or -1}) then '{d}' end" for d in ("立法与司法", "经济与产业", "医疗卫生", "生态环境", "交通运输", "市场监管", "数据与网络安全"))
+    + "], lambda x: x is not null) as tags from orders",
+)
 def _(t):
-    return _titled(t).select("id", rulebook.domain_tags(F.col("title"), F.lit(None).cast("string")).alias("tags"))
+    body = F.get(F.array(*map(F.lit, _BODIES)), (F.col("id") % 7).cast("int"))
+    return _titled(t).select("id", rulebook.domain_tags(F.col("title"), body).alias("tags"))
 
 
 @query(

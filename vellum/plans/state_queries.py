@@ -31,12 +31,16 @@ def _(t):
     return g.upserted(_stored(t), _incoming(t), "o_orderkey", kept=("clicks",), filled=("note",))
 
 
-@query("m02_evidence", "select o_orderkey, case when (o_orderkey % 6) >= (o_orderkey // 7 % 6) then 'new' else 'old' end as genre from orders")
+@query(
+    "m02_evidence",
+    """with p as (select o_orderkey, list_extract(['attachment_text', 'none', 'title', 'attachment_names'], (o_orderkey % 4)::int + 1) as new, list_extract(['attachment_names', 'title', 'attachment_text', 'none', null], (o_orderkey // 7 % 5)::int + 1) as old from orders)
+ select o_orderkey, case when old is null or (new, old) in (('none', 'none'), ('title', 'none'), ('title', 'title'), ('attachment_names', 'none'), ('attachment_names', 'title'), ('attachment_names', 'attachment_names'), ('attachment_text', 'none'), ('attachment_text', 'title'), ('attachment_text', 'attachment_names'), ('attachment_text', 'attachment_text')) then 'new' else 'old' end as genre from p""",
+)
 def _(t):
-    names = F.array(*[F.lit(b) for b in g.EVIDENCE])
-    basis = lambda k: F.element_at(names, (k % 6 + 1).cast("int"))
     key = F.col("o_orderkey")
-    return t.orders.select("o_orderkey", F.when(g.wins(basis(key), basis(F.floor(key / 7))), "new").otherwise("old").alias("genre"))
+    pick = lambda k, names: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    new, old = pick(key % 4, ("attachment_text", "none", "title", "attachment_names")), pick(F.floor(key / 7) % 5, ("attachment_names", "title", "attachment_text", "none", None))
+    return t.orders.select("o_orderkey", F.when(g.wins(new, old), "new").otherwise("old").alias("genre"))
 
 
 @query("m03_m04_overlay", "select c_custkey, coalesce(case when c_custkey % 2 = 0 then 'DETAIL' end, c_mktsegment) as c_mktsegment, c_name from customer")
@@ -109,7 +113,9 @@ def _(t):
 
 @query("m17_seeded", "select c_custkey, case when c_acctbal < 0 then 1 else 0 end as failures from customer")
 def _(t):
-    return t.customer.select("c_custkey", F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("failures"))
+    from ..functions.rules import seeded_failures
+
+    return t.customer.select("c_custkey", seeded_failures(F.col("c_acctbal") < 0).alias("failures"))
 
 
 @query("x06_once_per_day", "select distinct user_id, (ts + interval 8 hour)::date as day from events where event_type = 'error'", dates="day")
@@ -119,9 +125,11 @@ def _(t):
     return t.events.where("event_type = 'error'").select("user_id", site_day(F.col("ts").cast("timestamp")).alias("day")).dropDuplicates()
 
 
-@query("x10_backoff", "select event_id, 2 * power(2, event_id % 5)::bigint as wait from events")
+@query("x10_backoff", "select event_id, case when event_id % 7 < 5 then 2 * power(2, event_id % 7)::bigint else 60 end as wait from events")
 def _(t):
-    return t.events.select("event_id", (2 * F.pow(F.lit(2), F.col("event_id") % 5)).cast("long").alias("wait"))
+    from ..functions.rules import backoff
+
+    return t.events.select("event_id", backoff(F.col("event_id") % 7).alias("wait"))
 
 
 def _streamed(build, complete: bool = False):

@@ -187,11 +187,17 @@ def _(t):
     return feeds.feed_plan(_ranked_files(t), audiences).where("name = '(body)'")
 
 
-@query("t07_feed_within_budget", "select notice_id, least(sum(chars), 20000)::bigint < 0 as over from (select distinct notice_id, name, chars from files where status = 'ok') group by 1")
+@query(
+    "t07_feed_within_budget",
+    "select notice_id, sum(chars * 10) <= case when any_value(audience) = 'sector' then 40000 else 20000 end as whole, false as over from (select distinct notice_id, name, chars from files where status = 'ok') f left join notices n on n.id = notice_id group by 1",
+)
 def _(t):
     audiences = t.notices.select(F.col("id").alias("notice_id"), "audience", F.lit(False).alias("body_is_draft"), F.lit(0).cast("long").alias("body_chars"))
     plan = feeds.feed_plan(_ranked_files(t), audiences)
-    return plan.groupBy("notice_id").agg((F.sum("given") > 40_000).alias("over"))
+    budget = F.when(F.col("audience") == "sector", 40_000).otherwise(20_000)
+    chars = _ranked_files(t).groupBy("notice_id").agg(F.sum("chars").alias("chars"))
+    given = plan.groupBy("notice_id").agg(F.sum("given").alias("given")).join(chars, "notice_id").join(audiences, "notice_id", "left")
+    return given.select("notice_id", (F.col("given") == F.col("chars")).alias("whole"), (F.col("given") > budget).alias("over"))
 
 
 _BROKEN = """with i as (select *, sum(ok::int) over (partition by source_id order by seq rows unbounded preceding) as island from run_log),

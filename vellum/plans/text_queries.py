@@ -39,9 +39,9 @@ def _(t):
     return t.notices.select("id", d.days_left(dl, TODAY).alias("days"), d.urgency(dl, TODAY).alias("urgency"), d.countdown(dl, TODAY).alias("says"))
 
 
-@query("f05_last_months", "select strftime(date '1998-06-01' - to_months(i::int), '%Y-%m') as month from range(0, 12) r(i)")
+@query("f05_last_months", "select o_orderkey, list_transform([3, 2, 1, 0], lambda i: strftime(date_trunc('month', o_orderdate) - to_months(i::int), '%Y-%m')) as months from orders")
 def _(t):
-    return t.spark.createDataFrame([(m,) for m in d.last_months("1998-06-01", 12)], "month string")
+    return t.orders.select("o_orderkey", d.last_months(F.to_date("o_orderdate"), 4).alias("months"))
 
 
 @query("f06_millis_day", "select event_id, strftime(epoch_ms(1704067200000 + event_id * 60000), '%Y-%m-%d') as day from events")
@@ -150,11 +150,18 @@ def _(t):
     return made.select("doc_id", ((F.col("n") > 600) & (F.length("e") <= 600)).alias("cut"), F.when(F.col("n") <= 600, F.col("e")).alias("whole"))
 
 
-@query("f41_alternate_hosts")
+@query(
+    "f41_alternate_hosts",
+    r"""with h as (select distinct host from (select regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages union all select 'files.' || regexp_extract(url, '^https?://([^/:?#]+)', 1) from pages where page_id % 2 = 0)),
+ k as (select host, string_split(host, '.') as p from h where len(string_split(host, '.')) >= 3), s as (select host, array_to_string(list_slice(p, len(p) - 2, len(p)), '.') as site from k),
+ n as (select site, count(*) as n, min(host) as first from s group by 1)
+ select host, first, n from s join n using (site) where n > 1""",
+)
 def _(t):
-    a = t.pages.select(F.col("page_id").alias("a"), F.col("url").alias("ua"), F.slice(F.reverse(F.split(u.host(F.col("url")), r"\.")), 1, 3).alias("k"))
-    b = a.select(F.col("a").alias("b"), F.col("ua").alias("ub"), "k")
-    return a.where("size(k) = 3").join(b, "k").where("a < b").where(u.alternate_hosts(F.col("ua"), F.col("ub"))).select("a", "b")
+    """Hosts with alternates, by the first host of their site and the site's number of hosts: no pairs."""
+    name = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
+    hosts = t.pages.select(name.alias("host")).unionByName(t.pages.where("page_id % 2 = 0").select(F.concat(F.lit("files."), name).alias("host"))).distinct()
+    return u.host_sites(hosts)
 
 
 @query(

@@ -95,15 +95,3 @@ def send_then_mark(send, sent_path: str):
         new.unpersist()
 
     return run
-
-
-def run_jobs(jobs: list[tuple[str, callable]]) -> list[tuple[str, str]]:
-    """Runs jobs in order; one that fails doesn't stop the next."""
-    out = []
-    for name, job in jobs:
-        try:
-            job()
-            out.append((name, "ok"))
-        except Exception as problem:
-            out.append((name, f"failed: {problem}"))
-    return out
