@@ -46,9 +46,29 @@ def document_kind(name: Column) -> Column:
     return F.when(name.rlike("条例|法$|办法|规定"), "rule").when(name.rlike("标准|规范|规程"), "standard").when(name.rlike("规划|方案|计划"), "plan").otherwise("other")
 
 
-def guidance(n_channels: Column, closed: Column, has_files: Column) -> Column:
-    """What to say where no way to comment was found."""
-    return F.when(closed, "comments are closed").when(n_channels > 0, F.lit(None).cast("string")).when(has_files, "see the attached files").otherwise("see the original page")
+def guidance(shown: Column, chars: Column, files: Column, readable: Column) -> Column:
+    """(reason, files): why no way to comment is shown and where one may stand; nulls where one is.
+
+    A text that never came is told apart from one that names no way.
+    """
+    reason = F.when(chars > 0, "not in the text").otherwise("no text")
+    where = F.when(files == 0, "none").when(readable > 0, "readable").otherwise("unreadable")
+    return F.struct(F.when(~shown, reason).alias("reason"), F.when(~shown, where).alias("files"))
+
+
+def gap_attribution(sources: Column) -> Column:
+    """What of the sources (chars, cut, starved) went into a summary, and what a gap may be due to.
+
+    Only what was reported as cut or not fed may be named as a cause; without a record none is.
+    """
+    fed = F.filter(sources, lambda s: ~s["starved"])
+    n, n_fed = F.size(sources), F.size(fed)
+    cut = F.size(F.filter(fed, lambda s: s["cut"]))
+    chars = F.aggregate(fed, F.lit(0).cast("long"), lambda a, s: a + s["chars"])
+    parts = F.concat(F.when(cut > 0, F.format_string(", %d in part", cut)).otherwise(""), F.when(n_fed < n, F.format_string(", %d not at all", n - n_fed)).otherwise(""))
+    told = F.when(n == 0, "nothing was fed").when(n_fed == 0, F.format_string("%d sources were read, none was fed", n)).otherwise(F.concat(F.format_string("%d sources were read, %d characters fed", n, chars), F.when((cut == 0) & (n_fed == n), ", each of them whole").otherwise(parts)))
+    gap = F.when((cut > 0) | (n_fed < n), "; the gap may lie in what was not fed, or in what the model left out").otherwise("; the gap lies in what the model left out")
+    return F.when(sources.isNull(), "no record of what was fed").otherwise(F.concat(told, gap))
 
 
 def intake_sentence(files: Column, fed: Column, chars: Column, cut: Column) -> Column:
@@ -61,11 +81,6 @@ def change_note(rows: Column, facts: Column) -> Column:
     return F.when((rows == 0) & (facts == 0), "no changes are marked").when(rows == 0, F.format_string("%d statements of change", facts)).otherwise(F.format_string("%d changes, %d statements", rows, facts))
 
 
-def confirmed(confirmed_at: Column, pending: Column, rules: Column, now: str) -> tuple[Column, Column]:
-    """(confirmed_at, rules) after a confirmation: the first time stands, pending rules take effect."""
-    return F.coalesce(confirmed_at, F.lit(now)), F.coalesce(pending, rules)
-
-
 def summary_after(outcome: Column, old: Column, new: Column) -> tuple[Column, Column]:
     """(summary, status) after an attempt: saved, failed review (the old one stays), cleared, reset."""
     summary = F.when(outcome == "saved", new).when(outcome == "cleared", F.lit(None).cast("string")).otherwise(old)

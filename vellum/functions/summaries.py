@@ -157,9 +157,5 @@ def without_status(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, f"^\\s*{mark}\\s*|\\s*{mark}\\s*$", ""))
 
 
-def status_word(text: Column) -> Column:
-    return F.when(text.rlike("已结束|已截止|closed"), "closed").when(text.rlike("进行中|征集中|open"), "open")
-
-
 def reminder_note(stage: Column, days: Column) -> Column:
     return F.when(days == 0, "closes today").when((stage == "d7") & (days < 7), F.concat(F.lit("catching up: "), days.cast("string"), F.lit(" days left"))).otherwise(F.concat(days.cast("string"), F.lit(" days left")))

@@ -43,11 +43,17 @@ def feed_items(notices: DataFrame, site: str, most: int = FEED_ITEMS) -> DataFra
     return newest.select(place.alias("place"), "id", F.concat_ws("\n", *lines).alias("item"))
 
 
-def feed(notices: DataFrame, site: str, title: str, about: str, built: str, most: int = FEED_ITEMS) -> DataFrame:
-    """One row: the whole feed. ``built`` is the time of building, as feeds write it."""
+def feed(notices: DataFrame, site: str, title: str, about: str, built: str, most: int = FEED_ITEMS, language: str = "zh-cn", label: str = "", own: str = "") -> DataFrame:
+    """One row: the whole feed. ``built`` is the time of building, as feeds write it.
+
+    ``label`` tells what the notices are filtered by, ``own`` is the feed's own address.
+    """
     base = site.rstrip("/")
+    if label:
+        title, about = f"{title}: {label}", f"{about} ({label})"
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">', "  <channel>"]
-    told = [F.concat(F.lit(f"    <{n}>"), escaped_xml(F.lit(v)), F.lit(f"</{n}>")) for n, v in (("title", title), ("link", base + "/"), ("description", about), ("lastBuildDate", built))]
+    told = [F.concat(F.lit(f"    <{n}>"), escaped_xml(F.lit(v)), F.lit(f"</{n}>")) for n, v in (("title", title), ("link", base + "/"), ("description", about), ("language", language), ("lastBuildDate", built))]
+    told.append(F.concat(F.lit('    <atom:link href="'), escaped_xml(F.lit(own or base + "/feed.xml")), F.lit('" rel="self" type="application/rss+xml" />')))
     items = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
     return feed_items(notices, site, most).agg(F.concat_ws("\n", *map(F.lit, head), *told, F.concat_ws("\n", items), F.lit("  </channel>"), F.lit("</rss>"), F.lit("")).alias("xml"))
 

@@ -26,11 +26,11 @@ def _(t):
 @query(
     "m18_feed",
     f"""with newest as ({_NEWEST})
- select '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">' || chr(10) || '  <channel>' || chr(10) || '    <title>Notices &amp; drafts</title>' || chr(10)
- || '    <link>https://notices.example.org/</link>' || chr(10) || '    <description>What is new</description>' || chr(10) || '    <lastBuildDate>{BUILT}</lastBuildDate>' || chr(10) || string_agg(item, chr(10) order by place) || chr(10) || '  </channel>' || chr(10) || '</rss>' || chr(10) as xml from newest""",
+ select '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">' || chr(10) || '  <channel>' || chr(10) || '    <title>Notices &amp; drafts: agency &lt;A&gt;</title>' || chr(10)
+ || '    <link>https://notices.example.org/</link>' || chr(10) || '    <description>What is new (agency &lt;A&gt;)</description>' || chr(10) || '    <language>zh-cn</language>' || chr(10) || '    <lastBuildDate>{BUILT}</lastBuildDate>' || chr(10) || '    <atom:link href="https://notices.example.org/feed.xml?agency=A&amp;p=1" rel="self" type="application/rss+xml" />' || chr(10) || string_agg(item, chr(10) order by place) || chr(10) || '  </channel>' || chr(10) || '</rss>' || chr(10) as xml from newest""",
 )
 def _(t):
-    return sinks.feed(t.notices, SITE, "Notices & drafts", "What is new", BUILT)
+    return sinks.feed(t.notices, SITE, "Notices & drafts", "What is new", BUILT, label="agency <A>", own="https://notices.example.org/feed.xml?agency=A&p=1")
 
 
 @query("m19_sitemap", f"select {_URL} as url, coalesce(published::varchar, fetched_at::varchar) as last_modified, 'weekly' as change, 0.7::double as priority from notices union all values ('https://notices.example.org/', null, 'daily', 1.0::double), ('https://notices.example.org/stats', null, 'daily', 0.5::double)")

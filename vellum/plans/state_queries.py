@@ -132,6 +132,10 @@ def _(t):
     return t.events.select("event_id", backoff(F.col("event_id") % 7).alias("wait"))
 
 
+def _as_text(windows):
+    return windows.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+
+
 def _streamed(build, complete: bool = False):
     from ..sources.paths import shared_folder
     from ..streaming import jobs
@@ -145,8 +149,14 @@ def _streamed(build, complete: bool = False):
 
 query("x14_stream_daily_clicks", "select (ts + interval 8 hour)::date as day, event_type, count(*) as n from events group by 1, 2", dates="day")(_streamed(lambda jobs, e: jobs.daily_counts(e, "event_type"), complete=True))
 query("x04_stream_once_per_key", "select user_id, event_type from events group by 1, 2")(_streamed(lambda jobs, e: jobs.once_per_key(e, ["user_id", "event_type"], "60 days").select("user_id", "event_type")))
-query("x_sliding_counts", None)(_streamed(lambda jobs, e: jobs.sliding_counts(e, "event_type"), complete=True))
-query("x_session_counts", None)(_streamed(lambda jobs, e: jobs.session_counts(e, "user_id"), complete=True))
+query(
+    "x_sliding_counts",
+    "select * replace (start::varchar as start, \"end\"::varchar as \"end\") from (select time_bucket(interval 15 minute, ts) - to_minutes(15 * k::int) as start, time_bucket(interval 15 minute, ts) - to_minutes(15 * k::int) + interval 1 hour as \"end\", event_type, count(*) as n from events, range(0, 4) r(k) group by all)",
+)(_streamed(lambda jobs, e: _as_text(jobs.sliding_counts(e, "event_type")), complete=True))
+query(
+    "x_session_counts",
+    "with b as (select *, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as opens from events window w as (partition by user_id order by ts)), s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as k from b) select min(ts)::varchar as start, (max(ts) + interval 30 minute)::varchar as \"end\", user_id, count(*) as n from s group by user_id, k",
+)(_streamed(lambda jobs, e: _as_text(jobs.session_counts(e, "user_id")), complete=True))
 
 
 @query(

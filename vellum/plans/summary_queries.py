@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import list_queries as lq
 from ..functions import summaries as s, urls as u
 from ..functions.channels import inferred_kind, merged_channels
 from ..operators import feeds, windows as w
@@ -244,12 +245,71 @@ def _(t):
     return t.notices.join(t.clicks.select(F.col("notice_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("f48_description", "select 'audience public; from 1997-01; to 1997-12; text machinery' as says")
+_ASKED = """with a as (select o_orderkey as id, ['public', 'all', 'sector', ''][(o_orderkey % 4)::int + 1] as audience, case when o_orderkey % 3 = 0 then '  数据 & more ' end as q, strftime(o_orderdate, '%Y-%m') as m, strftime(o_orderdate + to_days(((o_orderkey % 5) * 40 - 60)::int), '%Y-%m') as n, ['7', '999', '30'][(o_orderkey % 3)::int + 1] as since, ['clicks', 'deadline', 'other'][(o_orderkey // 3 % 3)::int + 1] as sort, (o_orderkey % 3)::varchar as page from orders),
+ v as (select id, case when audience in ('public', 'sector') then audience end as audience, case when m > n then null when id % 7 > 0 then m end as f, case when m > n and id % 7 > 0 then null else n end as t, trim(q) as q, case when since <> '999' then since end as since, case when sort = 'clicks' then sort end as sort, case when page = '2' then page end as page from a)"""
+
+
+def _asked(t):
+    key = F.col("o_orderkey")
+    pick = lambda k, values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    args = F.create_map(
+        F.lit("audience"), pick(key, ("public", "all", "sector", "")), F.lit("q"), F.coalesce(F.when(key % 3 == 0, "  数据 & more "), F.lit("  ")), F.lit("from"), F.when(key % 7 == 0, "1996-13").otherwise(month),
+        F.lit("to"), F.date_format(F.date_add(F.to_date("o_orderdate"), ((key % 5) * 40 - 60).cast("int")), "yyyy-MM"), F.lit("since"), pick(key, ("7", "999", "30")), F.lit("sort"), pick(F.floor(key / 3), ("clicks", "deadline", "other")), F.lit("page"), (key % 3).cast("string"),
+    )
+    return t.orders.select(key.alias("id"), lq.parsed(args).alias("query"))
+
+
+@query("f48_description", _ASKED + " select id, coalesce(nullif(concat_ws('; ', 'audience ' || audience, 'from ' || f, 'to ' || t, 'text ' || q, 'days ' || since), ''), 'all notices') as says from v")
+def _(t):
+    return _asked(t).select("id", lq.described(F.col("query")).alias("says"))
+
+
+@query("p22_canonical", _ASKED + " select id, coalesce('/?' || nullif(concat_ws('&', 'audience=' || audience, 'from=' || f, 'to=' || t, 'q=' || replace(replace(replace(q, '&', '%26'), ' ', '+'), '数据', '%E6%95%B0%E6%8D%AE'), 'since=' || since, 'sort=' || sort, 'page=' || page), ''), '/') as address from v")
+def _(t):
+    return _asked(t).select("id", lq.canonical(F.col("query")).alias("address"))
+
+
+_FED = "with f as (select notice_id, name, any_value(chars * 10)::bigint as chars, any_value(chars) % 3 = 0 as cut, any_value(chars) % 5 = 0 as starved from (select distinct notice_id, name, chars from files where status = 'ok') group by 1, 2), s as (select id, count(name) as n, count(name) filter (where not starved) as fed, coalesce(sum(chars) filter (where not starved), 0)::bigint as chars, count(name) filter (where cut and not starved) as cut from notices left join f on notice_id = id group by 1)"
+
+
+@query(
+    "f58_gap_attribution",
+    _FED + """, i as (select *, case when n = 0 then 'nothing was fed' when fed = 0 then n || ' sources were read, none was fed' else n || ' sources were read, ' || chars || ' characters fed' || case when cut = 0 and fed = n then ', each of them whole' else case when cut > 0 then ', ' || cut || ' in part' else '' end || case when fed < n then ', ' || (n - fed) || ' not at all' else '' end end end as told from s)
+ select id, case when id % 11 = 0 then 'no record of what was fed' when cut > 0 or fed < n then told || '; the gap may lie in what was not fed, or in what the model left out' else told || '; the gap lies in what the model left out' end as told from i""",
+)
+def _(t):
+    from ..functions.rules import gap_attribution
+
+    files = t.files.where("status = 'ok'").select("notice_id", "name", "chars").distinct()
+    source = F.struct((F.col("chars") * 10).cast("long").alias("chars"), (F.col("chars") % 3 == 0).alias("cut"), (F.col("chars") % 5 == 0).alias("starved"))
+    fed = files.groupBy("notice_id").agg(F.collect_list(source).alias("sources"))
+    rows = t.notices.select("id").join(fed, F.col("id") == F.col("notice_id"), "left")
+    sources = F.when(F.col("id") % 11 != 0, F.coalesce("sources", F.array().cast("array<struct<chars:bigint,cut:boolean,starved:boolean>>")))
+    return rows.select("id", gap_attribution(sources).alias("told"))
+
+
+@query(
+    "f49_guidance",
+    """with f as (select notice_id, count(*) as files, count(*) filter (where status = 'ok') as readable from files group by 1), n as (select id, id % 4 = 0 as shown, case when id % 5 = 0 then 0 else length(body) end as chars, coalesce(files, 0) as files, coalesce(readable, 0) as readable from notices left join f on notice_id = id)
+ select id, case when not shown then case when chars > 0 then 'not in the text' else 'no text' end end as reason, case when not shown then case when files = 0 then 'none' when readable > 0 then 'readable' else 'unreadable' end end as files from n""",
+)
+def _(t):
+    from ..functions.rules import guidance
+
+    per = t.files.groupBy("notice_id").agg(F.count("*").alias("n_files"), F.count_if(F.col("status") == "ok").alias("n_readable"))
+    rows = t.notices.select("id", F.when(F.col("id") % 5 == 0, 0).otherwise(F.length("body")).alias("chars")).join(per, F.col("id") == F.col("notice_id"), "left")
+    return rows.select("id", guidance(F.col("id") % 4 == 0, F.col("chars"), F.coalesce("n_files", F.lit(0)), F.coalesce("n_readable", F.lit(0))).alias("g")).select("id", "g.*")
+
+
+@query("t02_comparability", "select b.id, case when a.id is null or b.id % 6 = 0 then 'missing' when a.id % 2 = 0 and b.id % 3 = 0 then 'comparable' when a.id % 2 = 0 or b.id % 3 = 0 then 'one side' else 'no drafts' end as verdict from notices b left join notices a on a.id = b.id - 501")
 def _(t):
-    from ..operators.filters import NoticeQuery
+    from ..operators.diff import comparability
 
-    q = NoticeQuery.parse({"audience": "public", "from": "1997-01", "to": "1997-12", "q": "machinery", "since": "999"}, "1998-06-01", "1998-06-01 00:00:00")
-    return t.spark.createDataFrame([(q.describe(),)], "says string")
+    old = t.notices.select((F.col("id") + 501).alias("id"), F.lit(True).alias("has_old"), (F.col("id") % 2 == 0).alias("old_draft"))
+    pairs = t.notices.select("id", (F.col("id") % 6 != 0).alias("has_new"), (F.col("id") % 3 == 0).alias("new_draft")).join(old, "id", "left")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return pairs.select("id", comparability(known("has_old"), F.col("has_new"), known("old_draft"), F.col("new_draft")).alias("verdict"))
 
 
 @query(
