@@ -87,3 +87,15 @@ def impact_overview(items: Column, kinds: list[str], most: int = 4) -> list[Colu
     of_kind = lambda kind: F.size(F.filter(items, lambda i: i["kind"] == kind))
     counts = [of_kind(k).alias(f"n_{k}") for k in kinds]
     return [*counts, F.slice(parties, 1, most).alias("parties"), F.greatest(F.size(parties) - most, F.lit(0)).alias("more")]
+
+
+def first_references(references: DataFrame) -> DataFrame:
+    """(source, n_urls, n_references) of references (url, pos, source): an address goes to the source that names it first, with all its references."""
+    per = references.groupBy("url").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count("*").alias("n"))
+    return per.groupBy("source").agg(F.count("*").alias("n_urls"), F.sum("n").alias("n_references"))
+
+
+def model_diagnostics(calls: DataFrame) -> DataFrame:
+    """Per model of calls (model, ms, listed, kept): calls, mean latency, what was dropped, and the percentage that was kept."""
+    per = calls.groupBy("model").agg(F.count("*").alias("calls"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.sum("listed").alias("listed"), F.sum("kept").alias("kept"))
+    return per.select("model", "calls", "mean_ms", (F.col("listed") - F.col("kept")).alias("dropped"), F.when(F.col("listed") > 0, F.round(100 * F.col("kept") / F.col("listed"), 2)).alias("kept_pct"))

@@ -116,6 +116,17 @@ def backfill_report(notices: DataFrame, stored: Column, computed: Column) -> Dat
     return notices.select(stored.alias("old"), computed.alias("new")).groupBy("old", "new").agg(F.count("*").alias("n")).withColumn("changed", ~F.col("old").eqNullSafe(F.col("new")))
 
 
+def backfill_totals(rows: DataFrame, stored: Column, computed: Column, skipped: Column) -> DataFrame:
+    """One row: how many rows a recomputation sees, would change and leaves alone (``skipped``: decided by hand, say)."""
+    changed = ~skipped & ~stored.eqNullSafe(computed)
+    return rows.agg(F.count("*").alias("total"), F.count_if(changed).alias("changed"), F.count_if(skipped).alias("skipped"))
+
+
+def backfill_samples(rows: DataFrame, key: str, stored: Column, computed: Column, skipped: Column, most: int = 400) -> DataFrame:
+    """(key, old, new) of the first rows that a recomputation would change, for the eye."""
+    return rows.where(~skipped & ~stored.eqNullSafe(computed)).orderBy(key).limit(most).select(key, stored.alias("old"), computed.alias("new"))
+
+
 def guarded_delete(parents: DataFrame, doomed: Column, children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(what stays, a backup of what goes): doomed parents go only if no child names them."""
     goes = parents.where(doomed).join(children, key, "left_anti")

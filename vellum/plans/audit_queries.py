@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import contacts as c
-from ..operators import audits, ordering, subscriptions as s
+from ..operators import aggregates, audits, merge, ordering, subscriptions as s
+from ..sources import files as src
 from .registry import query
 
 
@@ -104,3 +105,49 @@ def _(t):
 @query("m12_subscription_outcomes", _EVENTS + " select seq, outcome from r where rn > 0")
 def _(t):
     return _subscribed(t)[1].select("seq", "outcome")
+
+
+@query("a28_first_references", "with p as (select l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) as source, count(*) as n from lineitem group by 1) select source, count(*) as n_urls, sum(n)::bigint as n_references from p group by 1")
+def _(t):
+    return aggregates.first_references(t.lineitem.select(F.col("l_partkey").alias("url"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("source")))
+
+
+@query("a22_retention", "select event_type as model, count(*) as calls, round(avg(event_id % 1000), 3) as mean_ms, sum(case when event_id % 4 = 0 then least(event_id % 9, 2) else 0 end)::bigint as dropped, round(100 * sum(event_id % 9 - case when event_id % 4 = 0 then least(event_id % 9, 2) else 0 end) / sum(event_id % 9), 2) as kept_pct from events group by 1")
+def _(t):
+    listed = F.col("event_id") % 9
+    kept = listed - F.when(F.col("event_id") % 4 == 0, F.least(listed, F.lit(2))).otherwise(0)
+    return aggregates.model_diagnostics(t.events.select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("ms"), listed.alias("listed"), kept.alias("kept")))
+
+
+_BACKFILL = "with n as (select id, audience as old, case when title like '%3-%' then null when id % 2 = 0 then 'public' else audience end as new, id % 10 = 0 as by_hand from notices)"
+
+
+def _backfill(t):
+    computed = F.when(F.col("title").like("%3-%"), F.lit(None).cast("string")).when(F.col("id") % 2 == 0, "public").otherwise(F.col("audience"))
+    return t.notices, F.col("audience"), computed, F.col("id") % 10 == 0
+
+
+@query("m15_backfill_totals", _BACKFILL + " select count(*) as total, count(*) filter (where not by_hand and old is distinct from new) as changed, count(*) filter (where by_hand) as skipped from n")
+def _(t):
+    return merge.backfill_totals(*_backfill(t))
+
+
+@query("m15_backfill_samples", _BACKFILL + " select id, old, new from n where not by_hand and old is distinct from new order by id limit 400")
+def _(t):
+    rows, old, new, by_hand = _backfill(t)
+    return merge.backfill_samples(rows, "id", old, new, by_hand)
+
+
+@query(
+    "s10_budgets",
+    """with b(source_id, max_bytes, timeout_ms) as (select 'S' || n_nationkey, case when n_nationkey % 2 = 0 then 4500 end, 60000 from nation where n_nationkey in (3, 6, 7)),
+ f as (select url, chars, source_id from files join notices on id = notice_id)
+ select url, coalesce(max_bytes, 3000)::bigint as max_bytes, coalesce(timeout_ms, 15000)::bigint as timeout_ms, max_bytes is not null as own_limit, case when chars > coalesce(max_bytes, 3000) then 'too_large' else 'ok' end as status from f left join b using (source_id)""",
+)
+def _(t):
+    budgets = t.nation.where("n_nationkey in (3, 6, 7)").select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("source_id"), F.when(F.col("n_nationkey") % 2 == 0, 4500).alias("max_bytes"), F.lit(60_000).alias("timeout_ms"))
+    files = t.files.select("notice_id", "url", "chars").join(t.notices.select(F.col("id").alias("notice_id"), "source_id"), "notice_id")
+    told = src.with_budgets(files, budgets, 3000)
+    yes, no = F.lit(True), F.lit(False)
+    status = src.attachment_status(yes, no, F.lit("pdf"), F.col("chars"), yes, F.lit("text"), F.lit(1), F.col("max_bytes"))
+    return told.select("url", "max_bytes", "timeout_ms", "own_limit", status.alias("status"))

@@ -57,7 +57,17 @@ def extracted(files: DataFrame) -> DataFrame:
     return out.select("path", "kind", status.alias("status"), "text")
 
 
-def attachment_status(probe_ok: Column, is_html: Column, kind: Column, length: Column, downloaded: Column, text: Column, chars: Column, most_bytes: int = MOST_BYTES) -> Column:
+def with_budgets(files: DataFrame, budgets: DataFrame, most_bytes: int = MOST_BYTES, timeout_ms: int = 15_000) -> DataFrame:
+    """``files`` (source_id, ...) with the bytes and time that each may take: those of its source (source_id, max_bytes, timeout_ms), else the common ones.
+
+    ``own_limit`` tells whose limit a file is over when it is. ``budgets`` has a row per source.
+    """
+    own = budgets.select("source_id", F.col("max_bytes").alias("_bytes"), F.col("timeout_ms").alias("_ms"))
+    both = files.join(own, "source_id", "left")
+    return both.select(*[F.col(c) for c in files.columns], F.coalesce("_bytes", F.lit(most_bytes)).cast("long").alias("max_bytes"), F.coalesce("_ms", F.lit(timeout_ms)).cast("long").alias("timeout_ms"), F.col("_bytes").isNotNull().alias("own_limit"))
+
+
+def attachment_status(probe_ok: Column, is_html: Column, kind: Column, length: Column, downloaded: Column, text: Column, chars: Column, most_bytes: int | Column = MOST_BYTES) -> Column:
     """An attachment's terminal status: the first test that fails decides."""
     return (
         F.when(~probe_ok, "blocked")
