@@ -258,11 +258,13 @@ class SearchIndex:
 def search_many(index: DataFrame, queries: DataFrame, n_docs: int, mean_length: float, within: int = 20) -> DataFrame:
     """(query_id, id, score, rank): the first documents of each query (query_id, query), found together.
 
-    Pieces are looked up once, however many queries share them: beginnings by an equality join with the
+    Queries of the same pieces are answered once, and pieces are looked up once, however many queries share them: beginnings by an equality join with the
     vocabulary's beginnings, phrases by their characters' places. A query's candidates are the documents
     of its rarest piece; its other pieces are asked of these alone. Queries without a piece find nothing.
     """
-    pieces = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(f"([{HAN}]+|{_OTHER})"), F.lit(1)))).alias("piece")).persist()
+    cut = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(f"([{HAN}]+|{_OTHER})"), F.lit(1))))
+    asking = queries.select("query_id", F.array_join(cut, " ").alias("pieces")).where("pieces <> ''")
+    pieces = asking.select("pieces").distinct().select(F.col("pieces").alias("query_id"), F.explode(F.split("pieces", " ")).alias("piece")).persist()
     phrase = F.col("piece").rlike(f"^[{HAN}]")
     distinct = pieces.select("piece").distinct()
     longest = distinct.where(~phrase).agg(F.coalesce(F.max(F.length("piece")), F.lit(0))).first()[0]
@@ -281,7 +283,8 @@ def search_many(index: DataFrame, queries: DataFrame, n_docs: int, mean_length:
     part = _part(n_docs, mean_length)
     scored = parts.groupBy("query_id", "id", "n").agg(F.count("*").alias("held"), F.round(F.sum(part), 6).alias("score")).where("held = n")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= within).select("query_id", "id", "score", "rank")
+    first = scored.withColumn("rank", rank).where(F.col("rank") <= within).select(F.col("query_id").alias("pieces"), "id", "score", "rank")
+    return asking.join(first, "pieces").select("query_id", "id", "score", "rank")
 
 
 def all_terms(docs: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import date
 from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.dates import date_in, deadline_in
+from ..functions.dates import CHINESE_DATE, NUMERIC_DATE, date_in, deadline_in
 
 LEAST_TITLE = 4
 
@@ -215,13 +216,27 @@ def _address(href: str, base: str | None) -> str | None:
         return None
 
 
-LIST = "array<struct<title:string,url:string,day:string,closing:string,millis:string,status:string,dated:boolean>>"
+LIST = "array<struct<title:string,url:string,day:string,closing:string,millis:string,status:string>>"
 DETAIL = "struct<title:string,published:string,body:string,files:array<struct<name:string,url:string>>>"
 
 
+def _is_day(text: str) -> bool:
+    for pattern in (NUMERIC_DATE, CHINESE_DATE):
+        if m := re.search(pattern, text):
+            try:
+                return int(m[1]) >= 100 and bool(date(*map(int, m.groups())))
+            except ValueError:
+                return False
+    return False
+
+
 def picked_rows(adapter: Adapter, html: str | None, url: str | None) -> list[dict]:
-    """The texts of a list page's rows."""
-    out = []
+    """The texts of a list page's notices.
+
+    Rows with too short a title, or without a day where the source dates its notices, are none; an
+    address counts once.
+    """
+    out, seen = [], set()
     for row in select(tree(html), adapter.rows):
         link = _first(row, adapter.link)
         address = link and link.attrs["href"] and _address(link.attrs["href"], url)
@@ -233,7 +248,10 @@ def picked_rows(adapter: Adapter, html: str | None, url: str | None) -> list[dic
         if adapter.keep and not re.search(adapter.keep, title):
             continue
         day, _, closing = re.sub("[至到~～]", "\0", _text(row, adapter.day), count=1).partition("\0") if adapter.period else (_text(row, adapter.day), "", _text(row, adapter.closing))
-        out.append({"title": title, "url": address, "day": day, "closing": closing, "millis": _text(row, adapter.closing_millis), "status": _text(row, adapter.status), "dated": adapter.dated})
+        if address in seen or len(re.sub(MARKER, "", title).strip()) < LEAST_TITLE or adapter.dated and not _is_day(day):
+            continue
+        seen.add(address)
+        out.append({"title": title, "url": address, "day": day, "closing": closing, "millis": _text(row, adapter.closing_millis), "status": _text(row, adapter.status)})
     return out
 
 
@@ -288,22 +306,15 @@ def _agency(title: Column, adapters: dict[str, Adapter]) -> Column:
 def told_rows(picked: DataFrame, adapters: dict[str, Adapter] = ADAPTERS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(source_id, page_url, pos, title, url, agency, published, deadline, status) of picked list rows (``rows``).
 
-    Titles lose a mark of state, which is the row's; rows with too short a title, or without a day
-    where the source dates its notices, are none; an address counts once a page.
+    Titles lose a mark of state, which is the row's.
     """
-
-    def told(x: Column) -> Column:
-        mark = F.coalesce(F.nullif(F.regexp_extract(x["title"], MARKER, 1), F.lit("")), F.regexp_extract(x["title"], MARKER, 2))
-        word = F.when(mark != "", mark).otherwise(F.regexp_replace(x["status"], rf"^(?:{_OPEN}|\s)+|(?:{_CLOSE}|\s)+$", ""))
-        state = F.coalesce(*[F.when(word == w, F.lit(s)) for w, s in STATES.items()])
-        closing = F.coalesce(deadline_in(x["closing"], DEADLINES), date_in(x["closing"]), F.when(x["millis"].rlike(r"^\d{1,14}$"), F.to_date(F.timestamp_millis(x["millis"].try_cast("long")))))
-        return F.struct(F.trim(F.regexp_replace(x["title"], MARKER, "")).alias("title"), x["url"].alias("url"), date_in(x["day"]).alias("published"), closing.alias("deadline"), state.alias("status"), x["dated"].alias("dated"))
-
-    rows = picked.withColumn("rows", F.filter(F.transform("rows", told), lambda x: (F.length(x["title"]) >= LEAST_TITLE) & (~x["dated"] | x["published"].isNotNull())))
-    rows = rows.withColumn("urls", F.transform("rows", lambda x: x["url"]))
-    rows = rows.withColumn("rows", F.filter("rows", lambda x, k: F.array_position(F.col("urls"), x["url"]) == k + 1))
-    out = rows.select(*keep, "source_id", F.col("url").alias("page_url"), F.posexplode("rows").alias("pos", "x"))
-    return out.select(*keep, "source_id", "page_url", "pos", F.col("x.title"), F.col("x.url"), _agency(F.col("x.title"), adapters).alias("agency"), F.col("x.published"), F.col("x.deadline"), F.col("x.status"))
+    x = picked.select(*keep, "source_id", F.col("url").alias("page_url"), F.posexplode("rows").alias("pos", "x")).select(*keep, "source_id", "page_url", "pos", "x.*")
+    mark = F.coalesce(F.nullif(F.regexp_extract("title", MARKER, 1), F.lit("")), F.regexp_extract("title", MARKER, 2))
+    word = F.when(mark != "", mark).otherwise(F.regexp_replace("status", rf"^(?:{_OPEN}|\s)+|(?:{_CLOSE}|\s)+$", ""))
+    state = F.coalesce(*[F.when(word == w, F.lit(s)) for w, s in STATES.items()])
+    closing = F.coalesce(deadline_in(F.col("closing"), DEADLINES), date_in(F.col("closing")), F.when(F.col("millis").rlike(r"^\d{1,14}$"), F.to_date(F.timestamp_millis(F.col("millis").try_cast("long")))))
+    told = x.select(*keep, "source_id", "page_url", "pos", F.trim(F.regexp_replace("title", MARKER, "")).alias("title"), "url", date_in(F.col("day")).alias("published"), closing.alias("deadline"), state.alias("status"))
+    return told.select(*keep, "source_id", "page_url", "pos", "title", "url", _agency(F.col("title"), adapters).alias("agency"), "published", "deadline", "status")
 
 
 def told_details(picked: DataFrame, adapters: dict[str, Adapter] = ADAPTERS, keep: tuple[str, ...] = ()) -> DataFrame:
