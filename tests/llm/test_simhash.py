@@ -105,3 +105,26 @@ def test_fingerprints_of_very_many_rows(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert all(got[k] == (1 if k % 2 else k) for k in range(40)) and len(got) == 41 and got[None] is None
     assert sorted(r.doc_id for r in simhash.keep_one_each(docs).where("doc_id is not null").collect()) == sorted({got[k] for k in range(40)})
+
+
+def test_components_are_named_by_their_least_id_wherever_it_is(spark):
+    """Chains of near fingerprints; the least id is that of any member, the root fingerprint's too."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for chain in range(12):
+        words = [f"Chain{chain}x{k}" for k in rng.integers(0, 400, 900)]
+        for _ in range(5):
+            texts.append(" ".join(words))
+            words[rng.integers(0, 900)] = "changed"
+    ids = rng.permutation(len(texts) + 40)[: len(texts)].tolist()
+    fps = [fingerprint(t) for t in texts]
+    up = roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    want = {i: min(j for j, v in zip(ids, up) if v == u) for i, u in zip(ids, up)}
+    signed = dict(zip(ids, np.array(fps, np.uint64).view(np.int64).tolist()))
+    firsts = {u: min((signed[i], i) for i, v in zip(ids, up) if v == u)[1] for u in set(up)}
+    first_is_least = {want[i] == i for u, i in firsts.items() if len({f for f, v in zip(fps, up) if v == u}) > 1}
+    assert first_is_least == {True, False}  # groups of several fingerprints, of both kinds
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{f:016x}", want[i]) for i, f in zip(ids, fps)}
+    assert sorted(r.doc_id for r in simhash.keep_one_each(docs).collect()) == sorted(set(want.values()))

@@ -44,7 +44,7 @@ def _forest(max_nodes: int):
 
 
 def connected_components(links: DataFrame, max_nodes: int = 1_000_000) -> DataFrame:
-    """(node, root) for each id that has a link in ``links`` (u, v); the root is the least id reachable.
+    """(node, root) for each id that has a link in ``links`` (u, v), but for the roots; a root is the least id reachable.
 
     Links of a partition are thinned to a forest first. Then large-star and small-star rounds go on
     until nothing changes; a hub's links are spread by a minimum that is partly taken before the

@@ -167,7 +167,8 @@ def _components(every: DataFrame, max_bits: int, split_over: int) -> DataFrame:
     every_fp = stored(every.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     fps = every_fp.where("rep is not null")  # those of null ids alone link nothing
     roots = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")), max_bits, split_over))
-    linked = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root's own rows count for the name
+    linked = fps.join(members, F.col("fp") == F.col("node")).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     linked = linked.join(least, "root").select("fp", "root", "component")
     found = every_fp.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "rep").alias("component"), "n")
