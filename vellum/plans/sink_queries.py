@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rulebook
-from ..operators import merge as g, sinks
-from .join_queries import _ACTIVE, _MATCH, _pairs
+from ..operators import matching, merge as g, sinks
+from .join_queries import _ACTIVE, _MATCH, _active
 from .registry import query
 from .views import TODAY
 
@@ -75,7 +75,7 @@ def _(t):
 def _(t):
     today = F.lit(TODAY).cast("date")
     near = t.notices.where(F.col("deadline").between(today, F.date_add(today, 15)))
-    due = _pairs(t).join(near.select(F.col("id").alias("notice_id"), "title", "deadline"), "notice_id")
+    due = matching.matched_pairs(_active(t), near).join(near.select(F.col("id").alias("notice_id"), "title", "deadline"), "notice_id")
     return sinks.digests(due.select("subscription_id", F.col("notice_id").alias("id"), "title", "deadline", F.datediff("deadline", today).alias("days")), "Closing soon")
 
 
