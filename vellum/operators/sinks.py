@@ -103,13 +103,16 @@ def linked_list(page: DataFrame, site: str, total: Column, start: int = 1) -> Da
     return page.agg(safe_json(F.struct(F.lit(CONTEXT).alias("@context"), F.lit("ItemList").alias("@type"), F.max(total).alias("numberOfItems"), items.alias("itemListElement"))).alias("document"))
 
 
-def digests(due: DataFrame, what: str, most: int = MAIL_ITEMS) -> DataFrame:
+def digests(due: DataFrame, what: str, most: int = MAIL_ITEMS, totals: DataFrame | None = None) -> DataFrame:
     """(subscription_id, n, overflow, subject, body): one e-mail per subscription.
 
     ``due`` has subscription_id, id, title, deadline and days; the nearest deadlines come first, and
-    what is over ``most`` is counted and left for the next e-mail.
+    what is over ``most`` is counted and left for the next e-mail. With ``totals`` (subscription_id, total),
+    ``due`` may hold the first ``most`` of each alone.
     """
     listed = top_with_overflow(due, "subscription_id", most, "days", "id")
+    if totals is not None:
+        listed = listed.drop("more").join(totals.select("subscription_id", F.greatest(F.col("total") - most, F.lit(0)).alias("more")), "subscription_id")
     line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), F.coalesce(F.col("deadline").cast("string"), F.lit("no deadline")), F.lit(")"))
     first = F.min(F.struct("rank", "title", "days"))
     mails = listed.groupBy("subscription_id").agg(F.count("*").alias("n"), F.max("more").alias("overflow"), first.alias("first"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))

@@ -75,8 +75,10 @@ def _(t):
 def _(t):
     today = F.lit(TODAY).cast("date")
     near = t.notices.where(F.col("deadline").between(today, F.date_add(today, 15)))
-    due = matching.matched_pairs(_active(t), near).join(near.select(F.col("id").alias("notice_id"), "title", "deadline"), "notice_id")
-    return sinks.digests(due.select("subscription_id", F.col("notice_id").alias("id"), "title", "deadline", F.datediff("deadline", today).alias("days")), "Closing soon")
+    near = near.withColumn("days", F.datediff("deadline", today))
+    due = matching.first_matches(_active(t), near, sinks.MAIL_ITEMS, "days", "id")
+    totals = matching.match_counts(_active(t), near, total=F.lit(True))
+    return sinks.digests(due.select("subscription_id", "id", "title", "deadline", "days"), "Closing soon", totals=totals)
 
 
 @query(
