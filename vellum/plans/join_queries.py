@@ -189,8 +189,5 @@ def _(t):
 
 @query("x04_capped_round", f"with p as (select s.id as subscription_id, n.id as notice_id, n.first_seen from subscriptions s join notices n on {_MATCH} where {_ACTIVE} and n.first_seen >= timestamp '1998-05-25') select subscription_id, notice_id from (select *, row_number() over (partition by subscription_id order by first_seen, notice_id) as r from p) where r <= 20")
 def _(t):
-    from ..operators.filters import active_subscriptions
-
-    recent = t.notices.where(F.col("first_seen") >= F.lit("1998-05-25").cast("timestamp_ntz"))
-    pairs = m.matched_pairs(active_subscriptions(t.subscriptions), recent).join(recent.select(F.col("id").alias("notice_id"), "first_seen"), "notice_id")
-    return m.capped_per_subscriber(pairs, 20, F.col("first_seen"), F.col("notice_id")).select("subscription_id", "notice_id")
+    recent = t.notices.where(F.col("first_seen") >= F.lit("1998-05-25").cast("timestamp_ntz")).drop("deadline")
+    return m.first_matches(_active(t), recent, 20, "first_seen", "id").select("subscription_id", F.col("id").alias("notice_id"))
