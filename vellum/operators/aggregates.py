@@ -90,8 +90,12 @@ def impact_overview(items: Column, kinds: list[str], most: int = 4) -> list[Colu
 
 
 def first_references(references: DataFrame) -> DataFrame:
-    """(source, n_urls, n_references) of references (url, pos, source): an address goes to the source that names it first, with all its references."""
-    per = references.groupBy("url").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count("*").alias("n"))
+    """(source, n_urls, n_references) of references (url, pos, source): an address goes to the source that names it first, with all its references.
+
+    A reference without a place or a source is counted, but never the first.
+    """
+    named = F.when(F.col("pos").isNotNull() & F.col("source").isNotNull(), F.struct("pos", "source"))
+    per = references.groupBy("url").agg(F.min_by("source", named).alias("source"), F.count("*").alias("n"))
     return per.groupBy("source").agg(F.count("*").alias("n_urls"), F.sum("n").alias("n_references"))
 
 

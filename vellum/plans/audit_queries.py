@@ -109,7 +109,9 @@ def _(t):
 
 @query("a28_first_references", "with p as (select l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) as source, count(*) as n from lineitem group by 1) select source, count(*) as n_urls, sum(n)::bigint as n_references from p group by 1")
 def _(t):
-    return aggregates.first_references(t.lineitem.select(F.col("l_partkey").alias("url"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("source")))
+    place = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    told = F.when(place.isNotNull(), F.struct(place, "_metadata.file_path", "_metadata.row_index"))  # of rows at one place the first in the table
+    return aggregates.first_references(t.lineitem.select(F.col("l_partkey").alias("url"), told.alias("pos"), F.col("l_suppkey").alias("source")))
 
 
 @query("a22_retention", "select event_type as model, count(*) as calls, round(avg(event_id % 1000), 3) as mean_ms, sum(case when event_id % 4 = 0 then least(event_id % 9, 2) else 0 end)::bigint as dropped, round(100 * sum(event_id % 9 - case when event_id % 4 = 0 then least(event_id % 9, 2) else 0 end) / sum(event_id % 9), 2) as kept_pct from events group by 1")
