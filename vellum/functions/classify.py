@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-ROUND_MARKS = r"(第?[一二三四五六七八九十\d]+次)?(征求意见稿|公开征求意见|修订草案|草案|修订稿|二次审议稿|三次审议稿|送审稿)$"
+ROUND_MARK = r"(?=[第一二三四五六七八九十\d征公修草送])(?:第?[一二三四五六七八九十\d]+次)?(?:征求意见稿|公开征求意见|修订草案|草案|修订稿|二次审议稿|三次审议稿|送审稿)"
 
 
 def title_key(title: Column, least: int = 4, passes: int = 8) -> Column:
@@ -12,10 +12,9 @@ def title_key(title: Column, least: int = 4, passes: int = 8) -> Column:
     quoted = F.array_sort(F.regexp_extract_all(title, F.lit("《([^》]+)》"), F.lit(1)), lambda a, b: F.when(F.length(a) == F.length(b), 0).when(F.length(a) > F.length(b), -1).otherwise(1))
     text = F.coalesce(F.try_element_at(quoted, F.lit(1)), title)
     text = F.regexp_replace(text, r"[（(][^（）()]*[)）]$", "")
-    for _ in range(passes):
-        text = F.regexp_replace(text, ROUND_MARKS, "")
+    text = F.regexp_replace(text, f"(?:{ROUND_MARK}){{1,{passes}}}$", "")
     key = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    return F.when(F.length(key) >= least, key)
+    return F.get(F.filter(F.array(key), lambda k: F.length(k) >= least), F.lit(0))  # the key is made once
 
 
 def attachment_role(name: Column) -> Column:
